@@ -16,3 +16,32 @@ def op4_external_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = shuffle_shards(docs, shards=16, seed=20240601)
     return out.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: DuckDB's words for op1: shingle sets, overlap counts by shingle, and components by repeated relabelling.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+classes AS (SELECT c, min(doc_id) AS rep FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS c FROM s GROUP BY 1) GROUP BY c),
+member AS (SELECT d.doc_id, rep FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS c FROM s GROUP BY 1) d JOIN classes USING (c)),
+r AS (SELECT s.* FROM s JOIN classes ON s.doc_id = rep),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+walk(a, b) AS (SELECT x, y FROM e UNION SELECT walk.a, e.y FROM walk JOIN e ON walk.b = e.x),
+comp AS (SELECT a, min(b) AS b FROM walk GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(rep, comp.b), rep, d.doc_id)::BIGINT AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN member ON member.doc_id = d.doc_id LEFT JOIN comp ON comp.a = rep
+"""
+
+
+@CATALOG.query("op1_ngram_jaccard", OP1_SQL)
+def op1_ngram_jaccard(spark, sf_dir):
+    from spindrel.llm.ngram_jaccard import ngram_jaccard_join
+
+    members, _ = ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return members.select("doc_id", "n_shingles", "component_id")
