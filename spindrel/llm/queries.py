@@ -45,3 +45,18 @@ def op1_ngram_jaccard(spark, sf_dir):
 
     members, _ = ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90)
     return members.select("doc_id", "n_shingles", "component_id")
+
+
+@CATALOG.query("op2_elias_fano")
+def op2_elias_fano(spark, sf_dir):
+    from spindrel.llm.elias_fano import token_files
+
+    out = token_files(table(spark, sf_dir, "documents"), end=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@CATALOG.query("op5_harmonic_packing")
+def op5_harmonic_packing(spark, sf_dir):
+    from spindrel.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, end=1)
