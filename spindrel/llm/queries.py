@@ -60,3 +60,22 @@ def op5_harmonic_packing(spark, sf_dir):
     from spindrel.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), capacity=2048, end=1)
+
+
+@CATALOG.query("op8_byte_network_langid")
+def op8_byte_network_langid(spark, sf_dir):
+    from spindrel.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    return identify(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+@CATALOG.query("op9_quadratic_quality")
+def op9_quadratic_quality(spark, sf_dir):
+    from spindrel.llm.langid import held_out
+    from spindrel.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(mod=4, rest=2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(mod=4, rest=2))
+    out = score(docs, train(docs, labels), ["doc_id", "held_out"])
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
