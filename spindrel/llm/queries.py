@@ -79,3 +79,20 @@ def op9_quadratic_quality(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(~held_out(mod=4, rest=2))
     out = score(docs, train(docs, labels), ["doc_id", "held_out"])
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+@CATALOG.query("op3_merkle_fingerprints")
+def op3_merkle_fingerprints(spark, sf_dir):
+    from spindrel.llm.merkle import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op10_edit_aware_counts")
+def op10_edit_aware_counts(spark, sf_dir):
+    """Counts before and after three edits: 20 code points go at a third, a phrase comes in at half, the first 50 are added at the end."""
+    from spindrel.llm.token_counts import count_tokens
+
+    edits = F.expr("""array(named_struct('at', length(text) div 3, 'cut', 20, 'put', ''), named_struct('at', length(text) div 2, 'cut', 0, 'put', 'an inserted phrase, of 42 marks'),
+        named_struct('at', length(text) + 100, 'cut', 0, 'put', substring(text, 1, 50)))""")
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), ["doc_id"])
