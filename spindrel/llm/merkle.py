@@ -23,7 +23,7 @@ SMALL = 4
 #: One paragraph in so many ends a section.
 SECTION = 8
 #: Borders depend on the words beside them alone (six letters that many languages have, and marks), so an edit moves the few around it.
-_PHRASE = re.compile(r".{12,}?[dhlptxDHLPTX.!?$|*]\s+|.+", re.S)
+_PHRASE = re.compile(r".{12,120}?[dhlptxDHLPTX.!?$|*]\s+|.{60,120}?\s+|.{1,120}", re.S)
 
 
 def _hash(data: bytes, size: int = SMALL) -> bytes:
@@ -31,7 +31,7 @@ def _hash(data: bytes, size: int = SMALL) -> bytes:
 
 
 def phrases(line: str) -> list[str]:
-    """The line's phrases, in order and complete: a phrase has 12 code points at least and ends after a word with one of these last letters."""
+    """The line's phrases, in order and complete: a phrase has 12 to about 120 code points and ends after a word with one of these last letters if it can."""
     return _PHRASE.findall(line)
 
 
