@@ -96,3 +96,10 @@ def op10_edit_aware_counts(spark, sf_dir):
     edits = F.expr("""array(named_struct('at', length(text) div 3, 'cut', 20, 'put', ''), named_struct('at', length(text) div 2, 'cut', 0, 'put', 'an inserted phrase, of 42 marks'),
         named_struct('at', length(text) + 100, 'cut', 0, 'put', substring(text, 1, 50)))""")
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), ["doc_id"])
+
+
+@CATALOG.query("op6_qgram_decontamination")
+def op6_qgram_decontamination(spark, sf_dir):
+    from spindrel.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
