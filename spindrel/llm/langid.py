@@ -164,16 +164,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Network:
     return network
 
 
-def _predict(batches: Iterator[pa.RecordBatch], network: Network, extra: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], network: Network, at: int, kept: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole):
-            texts = batch.column(extra).to_pylist()
+        for batch in slices(whole, whole.schema.names[at]):
+            texts = batch.column(at).to_pylist()
             known = [bool(t) and _LETTER.search(t) is not None for t in texts]
             p = network.probabilities([t.lower().encode() if k else b"" for t, k in zip(texts, known)])
             best = p.argmax(1)
             langs = [network.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known)]
             scores = np.where(known, np.clip(p[np.arange(len(texts)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:extra], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, network: Network, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -181,6 +181,7 @@ def identify(docs: DataFrame, network: Network, keep: list[str], text_col: str =
 
     A text that is null or has no letter gets ``und`` and 0. Texts are read whole, in lower case; an empty docs gives no rows.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
-    return rows.mapInArrow(lambda it: _predict(it, network, len(keep)), schema)
+    at, extra = (keep.index(text_col), 0) if text_col in keep else (len(keep), 1)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{text_col}`").cast("string").alias("__text")] * extra)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", lang_pred string, score double"
+    return rows.mapInArrow(lambda it: _predict(it, network, at, len(keep)), schema)

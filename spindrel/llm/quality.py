@@ -102,7 +102,7 @@ def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a partition: the sum of the texts' shares, and how many texts."""
     total, n = np.zeros(258), 0
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, "text"):
             c = counts(*buffers(batch.column(0)))
             c = c[c[:, :256].any(1)]
             total += (c / c[:, :256].sum(1, keepdims=True)).sum(0)
@@ -139,11 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text"))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, extra: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, at: int, kept: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole):
-            s = model.score(statistics(counts(*buffers(batch.column(extra))), model.usual))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], pa.array(s, pa.float64())], [*batch.schema.names[:extra], "score"])
+        for batch in slices(whole, whole.schema.names[at]):
+            s = model.score(statistics(counts(*buffers(batch.column(at))), model.usual))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(s, pa.float64())], [*batch.schema.names[:kept], "score"])
 
 
 def score(docs: DataFrame, model: Discriminant | Constant, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Discriminant | Constant, keep: list[str], text
 
     Null texts count as empty, and empty texts have a score like others; an empty docs gives no rows.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
-    return rows.mapInArrow(lambda it: _score(it, model, len(keep)), schema)
+    at, extra = (keep.index(text_col), 0) if text_col in keep else (len(keep), 1)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{text_col}`").cast("string").alias("__text")] * extra)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", score double"
+    return rows.mapInArrow(lambda it: _score(it, model, at, len(keep)), schema)
