@@ -103,3 +103,10 @@ def op6_qgram_decontamination(spark, sf_dir):
     from spindrel.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@CATALOG.query("op7_recurrent_blocks")
+def op7_recurrent_blocks(spark, sf_dir):
+    from spindrel.llm.html_blocks import main_text
+
+    return main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
