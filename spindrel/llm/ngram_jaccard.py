@@ -8,10 +8,10 @@ dealt to blocks; a block multiplies its columns and adds up overlap counts of th
 pairs whose summed count stays below the bound are discarded. The others are compared exactly.
 
 A column with more than ``longest`` classes isn't multiplied. A class counts how many such columns it has; the
-bound is lowered by the smaller count, and as long as that count is below p - m, no link of the class can be lost. Classes with more are joined
-in a second product over the long columns alone: first with the least class of each column, then, where that leaves
-classes of a column in different components, with every class of another component. So no link is lost, and a
-group of thousands of near copies costs about as many comparisons as it has classes.
+bound is lowered by the smaller count, and as long as that count is below p - m, no link of the class can be lost. Classes with more are
+*crowded*; those that share a long column and are near in size form clusters, and each cluster goes through a second product over
+all its shingles, in pairs of blocks of bounded size. A pair of blocks hands on the links that join its classes, not all of them, so a large group of near copies
+makes about as many rows as it has classes, and no two different texts that are linked are left apart.
 """
 
 from __future__ import annotations
@@ -151,16 +151,67 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one long column (gram, cls, n, comp) -> the pairs of different components whose sizes allow a link."""
-    table = pa.Table.from_batches(list(batches))
-    cls, n, comp = (table.column(k).to_numpy() for k in ("cls", "n", "comp"))
-    kinds, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    rank = np.where(at == counts.argmax(), len(cls), np.arange(len(cls)))  # the largest component is compared with, not compared
-    for i in np.flatnonzero(rank < len(cls)):
-        hit = np.flatnonzero((at != at[i]) & (rank > i) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num))
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[hit], cls[i])), pa.array(np.maximum(cls[hit], cls[i]))], ["x", "y"])
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Enough of the links of a symmetric boolean matrix to join what they join, by breadth-first search."""
+    a, b, fresh = [], [], np.ones(len(linked), bool)
+    for root in range(len(linked)):
+        if not fresh[root]:
+            continue
+        fresh[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            near = np.flatnonzero(linked[i] & fresh)
+            fresh[near] = False
+            a += [i] * len(near)
+            b += near.tolist()
+            queue += near.tolist()
+    return a, b
+
+
+def _product(table: pa.Table, num: int, den: int) -> pa.Table:
+    """All sets of one pair of blocks (cls, grams) -> links that join them, from the product of their incidence matrices, column block by column block."""
+    cls = table.column("cls").to_numpy()
+    sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    grams, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    several = held[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (c, c + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[a:b], column[a:b] - c] = 1
+        overlap += part @ part.T
+    linked = overlap.astype(np.float64) * (num + den) >= num * (n[:, None] + n).astype(np.float64)
+    np.fill_diagonal(linked, False)
+    a, b = _forest(linked)
+    return pa.table({"x": pa.array(cls[a], pa.int64()), "y": pa.array(cls[b], pa.int64())})
+
+
+#: Shingles of a block of the second product, and the least that a class counts for: 512 classes a block at most.
+BLOCK, LEAST = 1 << 17, 1 << 8
+
+
+def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+    """(cls, gram, n) of crowded classes -> links among them.
+
+    Linked classes stand in one long column at least, and all between them in the column's order by size are near enough in size to be chained, so links never leave a cluster.
+    """
+    chain = long.selectExpr("cls as y", "lag(cls) over (partition by gram order by n, cls) as x", "n as ny", "lag(n) over (partition by gram order by n, cls) as nx")
+    clusters = components(chain.where(f"x is not null and nx * {den} >= ny * {num}").select("x", "y"))
+    sizes = long.groupBy("cls").agg(F.first("n").alias("n"))
+    members = clusters.withColumnRenamed("node", "cls").join(sizes, "cls").withColumn("block", F.expr(f"cast(sum(greatest(n, {LEAST})) over (partition by comp order by n, cls rows between unbounded preceding and current row) div {BLOCK} as int)"))
+    members = save(members, "members")
+    blocks = members.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    after = blocks.select("comp", F.col("block").alias("j"), F.col("least").alias("next"))
+    turns = blocks.join(after, "comp").where(f"block <= j and most * {den} >= next * {num}").select("comp", F.col("block").alias("i"), "j")
+    sides = turns.select("comp", "i", "j", F.col("i").alias("block")).union(turns.where("i < j").select("comp", "i", "j", F.col("j").alias("block")))
+    dealt = members.select("comp", "block", "cls").join(sides, ["comp", "block"]).join(sets_of(members.select("cls"), "crowded-sets"), "cls")
+    found = dealt.select("comp", "i", "j", "cls", "grams").groupBy("comp", "i", "j").applyInArrow(lambda t: _product(t, num, den), "x long, y long")
+    return save(found.distinct(), "cluster-links")
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -196,27 +247,20 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     pairs = pairs.where(f"c >= least({bound('nx')}, {bound('ny')}) - least(hx, hy)").select("x", "y")
     reach = classes.select("cls", F.col("rep").alias("doc_id"))
 
-    def linked(candidates: DataFrame, name: str) -> DataFrame:
-        """The candidates that an exact comparison of whole sets confirms."""
-        candidates = save(candidates.distinct(), f"{name}-candidates")
-        wanted = candidates.select(F.col("x").alias("cls")).union(candidates.select("y")).distinct().join(reach, "cls")
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(cls, grams) of the classes in wanted, from the text of one row each."""
+        wanted = wanted.distinct().join(reach, "cls")
         found = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = save(found.mapInArrow(lambda it: _sets(it, words), "cls long, grams binary").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), f"{name}-sets")
-        both = candidates.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("s")), "x").join(sets.select(F.col("cls").alias("y"), F.col("grams").alias("t")), "y")
-        return save(both.select("x", "y", "s", "t").mapInArrow(lambda it: _compare(it, num, den), "x long, y long"), f"{name}-links")
-
-    links = linked(pairs, "short")
-    crowded = held.where(f"h >= {bound(f'(({num} * n + {den - 1}) div {den})')}").select("cls")
-    long = save(long.join(crowded, "cls", "left_semi"), "long")
+        return save(found.mapInArrow(lambda it: _sets(it, words), "cls long, grams binary").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), name)
+
+    pairs = save(pairs.distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")), "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("s")), "x").join(sets.select(F.col("cls").alias("y"), F.col("grams").alias("t")), "y")
+    links = save(both.select("x", "y", "s", "t").mapInArrow(lambda it: _compare(it, num, den), "x long, y long"), "links")
+    crowded = held.where(f"h >= {bound(f'(({num} * n + {den - 1}) div {den})')}").select("cls", "n")
+    long = save(long.join(crowded.select("cls"), "cls", "left_semi"), "long")
     if long.limit(1).count():
-        heads = long.groupBy("gram").agg(F.min("cls").alias("x"), F.min_by("n", "cls").alias("nx"))
-        stars = long.join(heads, "gram").where(f"cls > x and least(n, nx) * {den} >= greatest(n, nx) * {num}").select("x", F.col("cls").alias("y"))
-        links = links.union(linked(stars, "star"))
-        comps = components(links)
-        tagged = long.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed = tagged.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("gram")
-        across = tagged.join(mixed, "gram", "left_semi").groupBy("gram").applyInArrow(lambda t: pa.Table.from_batches([*_across(iter(t.to_batches()), num, den)], pa.schema([("x", pa.int64()), ("y", pa.int64())])), "x long, y long")
-        links = links.union(linked(across, "across"))
+        links = links.union(_within_clusters(long, sets_of, num, den))
     comps = components(links)
     ids = classes.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     label = ids.join(ids.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
