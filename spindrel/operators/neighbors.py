@@ -115,8 +115,10 @@ class RPForest:
                 rows = None
                 break
             moved = save(self._project(open_rows), "projections")
-            rules = moved.groupBy("tree", "path").agg(F.percentile_approx("proj", F.array(*[F.lit(i / 100) for i in range(25, 76)]), 20000).alias("qs"), F.first("beta").alias("beta"), F.max("proj").alias("top"))
+            rules = moved.groupBy("tree", "path").agg(F.percentile_approx("proj", F.array(*[F.lit(i / 100) for i in range(25, 76)]), 20000).alias("qs"), F.first("beta").alias("beta"), F.max("proj").alias("top"), F.min("proj").alias("low"))
             at = F.element_at("qs", (F.round((F.col("beta") - 0.25) * 100) + 1).cast("int"))
+            # of rows that share the greatest projection none goes left; a threshold there moves down to the next known value
+            at = F.when(at < F.col("top"), at).otherwise(F.coalesce(F.array_max(F.filter("qs", lambda x: x < F.col("top"))), F.col("low")))
             rules = rules.select("tree", "path", at.alias("threshold"), "top").where("threshold < top").drop("top")
             rules = save(rules, "rules")
             self.rules = self.rules.unionByName(rules)
