@@ -34,13 +34,14 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes:
     key = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
     total = df.agg(F.sum(size_of(key[1])).alias("b"), F.count(F.lit(1)).alias("n")).first()
     rows, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
-    dealt = df.select(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias("__bucket"), F.struct(*key, *[F.col(f"`{c}`") for c in names if c not in (id_col, text_col)]).alias("__row"))
+    dealt = df.select(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int").alias("__bucket"), F.struct(*key, *[F.col(f"`{c}`") for c in names if c not in (id_col, text_col)]).alias("__row"))
     ends = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # A running sum over the buckets: blocks of 4096 first, so that no task sorts more than one block or the list of blocks.
     ends = ends.withColumn("__block", F.expr("__bucket div 4096"))
     blocks = ends.groupBy("__block").agg(F.sum("__n").alias("__sum")).select("__block", F.expr("sum(__sum) over (order by __block rows between unbounded preceding and current row) - __sum").alias("__before"))
     first = ends.join(blocks, "__block").select("__bucket", F.expr("__before + sum(__n) over (partition by __block order by __bucket rows between unbounded preceding and current row) - __n").alias("__first"))
-    lists = dealt.groupBy("__bucket").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    # One bucket a partition: the permutation of a bucket is drawn from the seed and its partition's number, so it is the same whenever it is made again.
+    lists = dealt.repartitionById(buckets, "__bucket").groupBy("__bucket").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
     mixed = lists.withColumn("__rows", F.shuffle("__rows", F.lit(seed)))
     q, r = divmod(rows, shards)
     at = mixed.join(first, "__bucket").select("__first", F.posexplode("__rows").alias("__i", "__row")).select((F.col("__first") + F.col("__i")).alias("__at"), "__row.*")
