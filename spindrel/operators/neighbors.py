@@ -263,3 +263,36 @@ def _(d):
     # edges of queries to all rows; sigma is the lower median of the positive distances times sqrt(1 / (2 ln(1 / 0.8)))
     return f"""WITH e AS (SELECT a.vec_id AS q, b.vec_id AS id, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 9) AS d FROM {d.vec} a JOIN {d.vec} b ON a.pos = b.pos WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
     s AS (SELECT coalesce({d.lower_quantile('CASE WHEN d > 0 THEN d END', 0.5)} * sqrt(1 / (2 * ln(1 / CAST(0.8 AS DOUBLE)))), 1.0) AS s FROM e) SELECT q, id, round(exp(-d * d / (2 * s * s)), 6) AS w FROM e CROSS JOIN s"""
+
+
+@CATALOG.query("rp_rules_tree")
+def _rp_rules(spark, sf_dir):
+    """Rules of one tree with heap numbers: the root is 1, children of i are 2 i and 2 i + 1."""
+    rules = RPForest(trees=1, leaf_size=60).fit(vectors(spark, sf_dir)).rules
+    number = F.aggregate(F.split("path", ""), F.lit(1).cast("long"), lambda i, c: F.when(c == "", i).otherwise(i * 2 + (c == "R").cast("long")))
+    return rules.select(number.alias("node"), "path", F.round("threshold", 6).alias("threshold"))
+
+
+@CATALOG.query("rp_forest")
+def _rp_forest(spark, sf_dir):
+    return RPForest(trees=3, leaf_size=60).fit(vectors(spark, sf_dir)).leaves.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CATALOG.query("rp_route")
+def _rp_route(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return RPForest(trees=2, leaf_size=60).fit(v).route(asked(v))
+
+
+@CATALOG.query("rp_repopulate")
+def _rp_repopulate(spark, sf_dir):
+    """New rows (here the vectors moved by 0.01) go through stored rules."""
+    v = vectors(spark, sf_dir)
+    return RPForest(trees=1, leaf_size=60).fit(v).route(v.withColumn("v", F.transform("v", lambda x: x + 0.01)))
+
+
+@q("knn_similarity")
+def _(d):
+    # the 3 most similar rows of each query, by either end
+    return f"""WITH s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.x * b.x), 9) AS s FROM {d.vec} a JOIN {d.vec} b ON a.pos = b.pos WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+    k AS (SELECT i, j, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM s) x WHERE r <= 3) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, round(s, 6) AS s FROM k"""

@@ -358,6 +358,12 @@ def _(d):
     return f"SELECT i, j, round(CAST(p AS DOUBLE), 8) AS p FROM {_combos(d, True)} c"
 
 
+@q("combo_tensor")
+def _(d):
+    # with the exit at the root: a path stops there with weight 1 beside the edges' 3
+    return f"SELECT i, j, round(CAST(p AS DOUBLE) * 9 / 20, 8) AS p FROM {_combos(d, False)} c"
+
+
 @q("combo_tensor_pam")
 def _(d):
     return f"SELECT i, round(CAST(sum(p) AS DOUBLE), 8) AS p FROM {_combos(d, True)} c GROUP BY i"

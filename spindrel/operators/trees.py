@@ -365,3 +365,17 @@ def _(d):
 
     terms = " + ".join(part(k) for k in range(7))
     return f"SELECT CAST(p.i AS BIGINT) AS id, CAST(c.i AS BIGINT) AS dim, round({terms}, 8) AS x FROM {d.seq(64)} p CROSS JOIN {d.seq(3)} c"
+
+
+@q("linkage_tree")
+def _(d):
+    # linkage rows (children a, b; leaves 0 to 4, inner nodes from 5) to paths of leaves, from the last row down
+    z = d.values("n, a, b", "(5, 0, 1), (6, 4, 2), (7, 3, 6), (8, 5, 7)")
+    return f"WITH RECURSIVE t(n, path) AS (SELECT 8, CAST('' AS {d.text}) UNION ALL SELECT CASE WHEN s.i = 0 THEN z.a ELSE z.b END, concat(path, CASE WHEN s.i = 0 THEN 'L' ELSE 'R' END) FROM t JOIN {z} AS z ON t.n = z.n CROSS JOIN {d.seq(2)} s) SELECT n AS leaf, path FROM t WHERE n < 5"
+
+
+@q("make_dag")
+def _(d):
+    # layers of 1, 2 and 3 nodes, each linked to the whole next layer
+    n = d.values("layer, node", "(0, 0), (1, 1), (1, 2), (2, 3), (2, 4), (2, 5)")
+    return f"SELECT a.node AS parent, b.node AS child FROM {n} AS a JOIN {n} AS b ON b.layer = a.layer + 1"
