@@ -97,3 +97,37 @@ def test_stream_ingests_once_and_seats(spark, tmp_path):
     assert len(places) == 20 and set(places) == set(range(max(places) + 1))
 
 
+
+
+def test_models(spark):
+    from spindrel.operators import models
+
+    rain = spark.createDataFrame([(1, 0.2), (0, 0.8)], "r int, p double")
+    sprinkler = spark.createDataFrame([(1, 1, 0.01), (1, 0, 0.99), (0, 1, 0.4), (0, 0, 0.6)], "r int, s int, p double")
+    wet = spark.createDataFrame([(0, 0, 1, 0.0), (0, 0, 0, 1.0), (1, 0, 1, 0.9), (1, 0, 0, 0.1), (0, 1, 1, 0.8), (0, 1, 0, 0.2), (1, 1, 1, 0.99), (1, 1, 0, 0.01)], "s int, r int, w int, p double")
+    got = {x.r: x.p for x in models.query([rain, sprinkler, wet], ["r"], {"w": 1}).collect()}
+    assert got[1] == pytest.approx(891 / 2491)
+    assert all(x.p == 0 for x in models.query([rain, sprinkler, wet], ["w"], {"s": 0, "r": 0, "w": 1}).collect())
+    d = [[0, 1, 9, 9.5], [1, 0, 8, 9], [9, 8, 0, 2], [9.5, 9, 2, 0]]
+    assert models.linkage(d, "complete") == [(0, 1, 1.0, 2), (2, 3, 2.0, 2), (4, 5, 9.5, 4)]
+    tree = models.spanning_tree(spark.createDataFrame([(0, 1, 3.0), (1, 2, 2.0), (2, 0, 1.0), (3, 2, 5.0)], "i long, j long, w double"))
+    assert {(x.i, x.j) for x in tree.collect()} == {(0, 1), (1, 2), (2, 3)}
+    paths = models.nested_crp(50, 3, 1.0)
+    assert len(paths) == 50 and all(len(p) == 3 for p in paths) and paths[0] == (0, 0, 0)
+    fit = models.fit_mixture(spark.createDataFrame([(float(i % 5),) for i in range(100)] + [(100.0 + i % 5,) for i in range(50)], "x double"), 2).collect()
+    assert sorted(round(m["mean"]) for m in fit) == [2, 102] and max(m["weight"] for m in fit) == pytest.approx(2 / 3, abs=0.01)
+
+
+def test_special_functions(spark):
+    from pyspark.sql import functions as F
+
+    from spindrel.functions.special import digamma, lgamma
+
+    r = spark.range(1).select(digamma(F.lit(1.0)).alias("d"), lgamma(F.lit(0.5)).alias("g")).first()
+    assert r.d == pytest.approx(-0.5772156649, abs=1e-9) and r.g == pytest.approx(0.5723649429, abs=1e-8)
+
+
+def test_entry_has_no_query_without_its_table_of_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
