@@ -50,8 +50,9 @@ def _(d):
 
 @q("transpose_shots")
 def _(d):
-    cells = ", ".join(f"max(CASE WHEN vec_id = {i} THEN round(x, 6) END) AS shot_{i}" for i in range(4))
-    return f"SELECT pos, 'a' AS sensor, {cells} FROM {d.vec} WHERE vec_id < 4 GROUP BY pos"
+    # places become rows, the mean spectrum of each class a column, beside a constant one
+    cells = ", ".join(f"round(avg(CASE WHEN label = {i} THEN x END), 6) AS shot_{i}" for i in range(10))
+    return f"SELECT pos, 'a' AS sensor, {cells} FROM {d.vec} GROUP BY pos"
 
 
 @q("l1_normalize")
