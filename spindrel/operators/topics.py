@@ -101,7 +101,7 @@ def _(d):
     return f"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '{g}), '[ ]+', ' '{g})) AS plain FROM pages"
 
 
-def _top(d, share: int = 50) -> str:
+def _top(d, share: int = 4) -> str:
     """Counts by document of the vocabulary: the terms that one document in ``share`` has at least."""
     vocabulary = f"SELECT term FROM (SELECT DISTINCT doc_id, term FROM {d.tok()} u) w GROUP BY term HAVING count(*) * {share} >= (SELECT count(*) FROM documents)"
     return f"(SELECT t.doc_id, t.term, count(*) AS n FROM {d.tok()} t JOIN ({vocabulary}) k ON t.term = k.term GROUP BY t.doc_id, t.term)"
