@@ -1,26 +1,5 @@
 """Tables written between jobs, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from spindrel.plans.scratch import folder, new_path, save
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return shared or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/spindrel/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: later jobs start from the files, whatever executors are lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "new_path", "save"]
