@@ -24,6 +24,8 @@ Q, PART, EDITS = 12, 120, 5
 SHORT = 24
 #: Bytes of benchmark text that may be sent to all tasks at once; a larger benchmark is used in blocks of this size.
 BLOCK_BYTES = 8 << 20
+#: Letters of a text that are looked at together; bounds a worker's arrays.
+WINDOW = 1 << 20
 #: Bits of the table that most q-grams of a text fail at.
 _BITS = 22
 _DROP = re.compile(r"[\W_]+")
@@ -107,8 +109,24 @@ class Index:
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.g >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the regions of a plain text that hold a part of an item."""
+    def find(self, text: str, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the regions of a plain text that hold a part of an item.
+
+        A longer text is read in windows that end at a space and overlap by more than a part can be long.
+        """
+        if len(text) <= 2 * window:
+            return self._find(text)
+        out, a = set(), 0
+        while a < len(text):
+            b = text.find(" ", a + window + 4 * PART)
+            b = len(text) if b < 0 else b
+            out |= {(item, s + a, e + a, k) for item, s, e, k in self._find(text[a:b])}
+            if b == len(text):
+                break
+            a = max(a + 1, text.rfind(" ", a, b - 3 * PART) + 1 or b - 3 * PART)
+        return sorted(out)
+
+    def _find(self, text: str) -> list[tuple[int, int, int, int]]:
         out = []
         codes = _codes(text)
         for i in self.short:

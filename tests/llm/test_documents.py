@@ -126,6 +126,18 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_long_texts_are_read_in_windows():
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgh"), r.integers(2, 8))) for _ in range(300)]
+    items = [(i, " ".join(r.choice(words, 30))) for i in range(5)] + [(9, "tiny")]
+    text = " ".join(" ".join(r.choice(words, 200)) + f" {items[i % 6][1]}" for i in range(24))
+    index = decontaminate.Index(items)
+    whole = index.find(text, 10**9)
+    assert {x[0] for x in whole} == {0, 1, 2, 3, 4, 9}
+    parts = index.find(text, 700)
+    assert {(i, e, k) for i, _, e, k in parts if i == 9 or k == 0} == {(i, e, k) for i, _, e, k in whole if i == 9 or k == 0}
+
+
 def numeric(model, loss, key, at):
     keep = model.p[key].copy()
     out = []
