@@ -13,7 +13,7 @@ from spindrel.llm.scratch import save
 from spindrel.plans.catalog import table
 
 #: Pooled probability below which a document's language counts as unknown, and score below which a document counts as bad.
-LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.5
+LEAST_LANGUAGE, LEAST_QUALITY = 0.3, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

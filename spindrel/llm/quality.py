@@ -1,6 +1,6 @@
 """Quality scores by regularised quadratic discriminant analysis of document statistics.
 
-Statistics of a text's bytes (shares of character kinds, repeats, lengths, entropy) are transformed to be closer to normal:
+Statistics of a text's bytes (shares of character kinds, repeats of bytes and words, lengths, entropy) are transformed to be closer to normal:
 arc sine of the root for shares, logarithm for lengths. Each class has a mean and a covariance shrunk towards its diagonal
 and towards the pooled covariance; its Cholesky factor is kept, so a score costs one triangular product a class.
 """
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.shingles import buffers, slices
+from spindrel.llm.sampling import least_by_hash
+from spindrel.llm.shingles import buffers, slices, word_hashes
 
 #: Labelled texts that the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -22,6 +23,8 @@ SAMPLE = 20_000
 POOLED, DIAGONAL, FLOOR = 0.1, 0.05, 1e-3
 #: Bytes of usual text that each text's counts start from.
 PRIOR = 150
+#: Counts of a text: 256 bytes, like neighbours, ends of words, words, repeated words.
+COUNTS = 260
 
 
 def _kinds() -> np.ndarray:
@@ -38,9 +41,12 @@ _KINDS = _kinds()
 
 
 def counts(raw: bytes, offsets: np.ndarray) -> np.ndarray:
-    """(text, 258): how often each byte stands in each text, is like the byte before it, and ends a word."""
+    """(text, 260): how often each byte stands in each text, is like the byte before it, and ends a word; words, and words like the word before them."""
     data = np.frombuffer(raw, np.uint8)
-    out = np.zeros((len(offsets) - 1, 258))
+    out = np.zeros((len(offsets) - 1, COUNTS))
+    h, of = word_hashes(raw, offsets)
+    out[:, 258] = np.bincount(of, minlength=len(out))
+    out[:, 259] = np.bincount(of[1:][(h[1:] == h[:-1]) & (of[1:] == of[:-1])], minlength=len(out))
     for i, row in enumerate(out):
         d = data[offsets[i] : offsets[i + 1]]
         for a in range(0, len(d), 1 << 20):
@@ -59,7 +65,8 @@ def statistics(found: np.ndarray, usual: np.ndarray) -> np.ndarray:
     share = np.concatenate((kinds, found[:, 256:257]), 1) / whole
     p = found[:, :256] / whole
     entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
-    return np.column_stack((np.arcsin(np.sqrt(np.clip(share, 0, 1))), np.log1p(kinds[:, :2].sum(1) / (found[:, 257] + 1e-9)), entropy))
+    twice = np.arcsin(np.sqrt(np.clip(found[:, 259] / (found[:, 258] + 1e-9), 0, 1)))
+    return np.column_stack((np.arcsin(np.sqrt(np.clip(share, 0, 1))), np.log1p(kinds[:, :2].sum(1) / (found[:, 257] + 1e-9)), entropy, twice))
 
 
 class Discriminant:
@@ -92,7 +99,7 @@ class Constant:
     """Stands in where the labels have one class only, or none."""
 
     def __init__(self, p: float) -> None:
-        self.p, self.usual = p, np.full(258, 1 / 256)
+        self.p, self.usual = p, np.full(COUNTS, 1 / 256)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), self.p)
@@ -100,7 +107,7 @@ class Constant:
 
 def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a partition: the sum of the texts' shares, and how many texts."""
-    total, n = np.zeros(258), 0
+    total, n = np.zeros(COUNTS), 0
     for whole in batches:
         for batch in slices(whole, "text"):
             c = counts(*buffers(batch.column(0)))
@@ -122,7 +129,7 @@ def fit(labelled: DataFrame) -> Discriminant | Constant:
     labelled = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), "text")
     good = labelled.where("label = 1").select("text").mapInArrow(_usual, "n long, shares array<double>").collect()
     texts = sum(r["n"] for r in good)
-    usual = np.sum([np.round(r["shares"], 9) for r in good], 0) / texts if texts else np.r_[np.full(256, 1 / 256), 0, 0.2]
+    usual = np.sum([np.round(r["shares"], 9) for r in good], 0) / texts if texts else np.r_[np.full(256, 1 / 256), 0, 0.2, 0.2, 0]
     rows = labelled.mapInArrow(lambda it: _measure(it, usual), "label int, x array<double>").collect()
     y = np.array([r["label"] for r in rows], int)
     if len(set(y.tolist())) < 2:
@@ -134,7 +141,7 @@ def fit(labelled: DataFrame) -> Discriminant | Constant:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Discriminant | Constant:
     """Fits on at most ``sample`` labelled documents, the ones with the least hash of their id."""
-    some = labels.where(f"`{label}` in (0, 1) and doc_id is not null").select("doc_id", F.col(f"`{label}`").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    some = least_by_hash(labels.where(f"`{label}` in (0, 1) and doc_id is not null").select("doc_id", F.col(f"`{label}`").alias("label")), ["doc_id", "label"], sample)
     # sample rows of two numbers at most: a size that doesn't grow with the tables
     return fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text"))
 
