@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a bucket should hold.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose first places (two numbers each, 4 MB at most) are sent to all tasks; more are joined by bucket.
+MOST_SENT = 1 << 18
 
 
 def size_of(text: Column) -> Column:
@@ -27,8 +29,8 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes:
     The order depends on the rows and the seed alone, not on how df is partitioned: rows are scattered by a
     hash of id and text, and a bucket is sorted before it is permuted. Null ids and null or empty texts are
     rows like others; repeated rows all stay and are interchangeable; columns named ``shard`` or ``slot`` are
-    replaced. An empty df gives no rows. Only the counts of the buckets are kept aside; they are joined by
-    bucket, so nothing that is sent to all tasks grows with the rows unless Spark has measured its size.
+    replaced. An empty df gives no rows. Only the counts of the buckets are kept aside; up to MOST_SENT of them
+    are sent to all tasks, more are joined by bucket.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
     key = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
@@ -44,6 +46,8 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes:
     lists = dealt.repartitionById(buckets, "__bucket").groupBy("__bucket").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
     mixed = lists.withColumn("__rows", F.shuffle("__rows", F.lit(seed)))
     q, r = divmod(rows, shards)
+    if buckets <= MOST_SENT:
+        first = F.broadcast(first)
     at = mixed.join(first, "__bucket").select("__first", F.posexplode("__rows").alias("__i", "__row")).select((F.col("__first") + F.col("__i")).alias("__at"), "__row.*")
     cut = (q + 1) * r  # the first r shards have one row more
     shard = F.expr(f"case when __at < {cut}L then __at div {q + 1}L else {r}L + (__at - {cut}L) div {max(q, 1)}L end").cast("int")
