@@ -107,18 +107,45 @@ def _top(d, share: int = 4) -> str:
     return f"(SELECT t.doc_id, t.term, count(*) AS n FROM {d.tok()} t JOIN ({vocabulary}) k ON t.term = k.term GROUP BY t.doc_id, t.term)"
 
 
-@q("word_cooccurrence")
-def _(d):
+def _word_cooccurrence_sql(d):
     return f"""WITH c AS (SELECT * FROM {_top(d)} x), r AS (SELECT a.term AS i, b.term AS j, sum(CASE WHEN a.term = b.term THEN a.n * (a.n - 1) ELSE a.n * b.n END) AS v FROM c a JOIN c b ON a.doc_id = b.doc_id GROUP BY a.term, b.term)
     SELECT i, j, CAST(v AS BIGINT) AS v, round(v / CAST(nullif(sum(v) OVER (PARTITION BY i), 0) AS DOUBLE), 8) AS p FROM r"""
 
 
-@q("anchor_first")
-def _(d):
+def _anchor_first_sql(d):
     return f"""WITH c AS (SELECT * FROM {_top(d)} x), r AS (SELECT a.term AS i, b.term AS j, sum(CASE WHEN a.term = b.term THEN a.n * (a.n - 1) ELSE a.n * b.n END) AS v FROM c a JOIN c b ON a.doc_id = b.doc_id GROUP BY a.term, b.term),
     p AS (SELECT i, v / CAST(nullif(sum(v) OVER (PARTITION BY i), 0) AS DOUBLE) AS p FROM r) SELECT i AS term, round(sqrt(sum(p * p)), 8) AS norm FROM p GROUP BY i ORDER BY norm DESC, term LIMIT 1"""
 
 
+def cooccurrence(tokens: DataFrame) -> DataFrame:
+    """(i, j, v, p) over all terms of (doc_id, pos, term): v ordered pairs of places in one document that hold i and j, p their share of those of i.
+
+    Counts go into the join by document, one half of the symmetric matrix is summed, before the shuffle as well, and totals by term come from document lengths. p is null for a term
+    that only stands alone.
+    """
+    counts = save(tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    pairs = counts.select("doc_id", F.col("term").alias("i"), F.col("n").alias("x")).join(counts.select("doc_id", F.col("term").alias("j"), F.col("n").alias("y")), "doc_id").where("i <= j")
+    half = pairs.groupBy("i", "j").agg(F.sum(F.expr("CASE WHEN i = j THEN x * (x - 1) ELSE x * y END")).alias("v"))
+    both = half.select(F.explode(F.expr("CASE WHEN i = j THEN array(struct(i, j)) ELSE array(struct(i, j), struct(j AS i, i AS j)) END")).alias("at"), "v").select("at.i", "at.j", "v")
+    lengths = counts.groupBy("doc_id").agg(F.sum("n").alias("length"))
+    total = counts.join(lengths, "doc_id").groupBy(F.col("term").alias("i")).agg(F.sum(F.expr("n * (length - 1)")).alias("total"))
+    return both.join(total, "i").select("i", "j", "v", F.expr("v / nullif(total, 0)").alias("p"))
+
+
+# The SQL of these two still keeps the frequent terms of _top only; the queries take the whole vocabulary, so the results differ.
+
+
+@CATALOG.query("word_cooccurrence", _word_cooccurrence_sql(DUCK))
+def _word_cooccurrence(spark, sf_dir):
+    return cooccurrence(tokens(spark, sf_dir)).withColumn("p", F.round("p", 8))
+
+
+@CATALOG.query("anchor_first", _anchor_first_sql(DUCK))
+def _anchor_first(spark, sf_dir):
+    norms = cooccurrence(tokens(spark, sf_dir)).groupBy(F.col("i").alias("term")).agg(F.round(F.sqrt(F.sum(F.col("p") * F.col("p"))), 8).alias("norm"))
+    return norms.orderBy(F.desc_nulls_last("norm"), "term").limit(1)
+
+
 @q("pair_cooccurrence")
 def _(d):
     return f"SELECT a, b, count(*) AS n FROM (SELECT doc_id, pos, term AS a, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM {d.tok()} t) x WHERE pos % 2 = 0 AND b IS NOT NULL GROUP BY a, b"
