@@ -504,8 +504,8 @@ def collapsed_gibbs(tokens: DataFrame, topics: int, sweeps: int = 5, alpha: floa
 
 @CATALOG.query("lda_collapsed_gibbs")
 def _gibbs(spark, sf_dir):
-    t = tokens(spark, sf_dir, "benchmark", "item_id").select(F.col("doc_id").cast("long"), F.col("pos").cast("long"), "term")
-    return collapsed_gibbs(t, 4, sweeps=2)
+    t = tokens(spark, sf_dir).select(F.col("doc_id").cast("long"), F.col("pos").cast("long"), "term")
+    return collapsed_gibbs(t, 4)
 
 
 class SimpleHierarchicalTopicModel:
@@ -554,8 +554,7 @@ class SimpleHierarchicalTopicModel:
 
 @CATALOG.query("shtm_fit")
 def _shtm(spark, sf_dir):
-    t = tokens(spark, sf_dir, "benchmark", "item_id")
-    return SimpleHierarchicalTopicModel([[0, 1, 3], [0, 1, 4], [0, 2, 5], [0, 2, 6]]).fit(t, epochs=1)
+    return SimpleHierarchicalTopicModel([[0, 1, 3], [0, 1, 4], [0, 2, 5], [0, 2, 6]]).fit(tokens(spark, sf_dir))
 
 
 def build_tree(leaves: list[int], triplets: list[tuple[int, int, int]]) -> tuple | None:

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from spindrel.operators import topics
+from spindrel.operators import models, topics
 
 DOCS = [(1, "The cat sees the dog"), (2, "Le chat voit le chien, le chat dort"), (3, "the house"), (4, "alone"), (5, None), (6, "rare words stand once; the cat")]
 
@@ -29,3 +29,16 @@ def test_cooccurrence_has_the_whole_vocabulary(spark, folder):
     norms = {i: round(sum((x / total[i]) ** 2 for (k, _), x in v.items() if k == i) ** 0.5, 8) for i in total if total[i]}
     best = topics.CATALOG.queries["anchor_first"](spark, folder).first()
     assert (-best.norm, best.term) == min((-n, i) for i, n in norms.items())
+
+
+def test_fits_read_all_documents_and_words(spark, folder):
+    places = {(d, i, w) for d, text in DOCS for i, w in enumerate(re.findall("[a-z]+", (text or "").lower()))}
+    words = {w for _, _, w in places}
+    gibbs = topics.CATALOG.queries["lda_collapsed_gibbs"](spark, folder).collect()
+    assert {(r.doc_id, r.pos, r.term) for r in gibbs} == places and len(gibbs) == len(places)
+    tree = topics.CATALOG.queries["shtm_fit"](spark, folder).collect()
+    assert {(r.node, r.term) for r in tree} == {(n, w) for n in range(7) for w in words}
+    assert sum(r.val - 0.1 for r in tree) == pytest.approx(len(places))
+    lda = models.CATALOG.queries["lda_baseline"](spark, folder).collect()
+    assert {(r.topic, r["rank"]) for r in lda} == {(t, k) for t in range(3) for k in range(5)} and {r.term for r in lda} <= words
+    assert all(len({r.term for r in lda if r.topic == t}) == 5 for t in range(3))
