@@ -3,7 +3,8 @@
 Texts are compared as runs of letters and digits in lower case. An item's occurrence with at most k edits shares at least
 m - q + 1 - k q of its m - q + 1 q-grams with the text, and those lie on diagonals at most k apart. So q-grams of the text are looked up in the
 benchmark's table, hits are counted in bands of diagonals that overlap by half, bands below the bound are dropped, and what
-remains is aligned within the band. Items longer than PART letters are looked for part by part, so that a copied passage of an item is found as well.
+remains is aligned within the band. Items longer than PART letters are looked for part by part, and all items longer than PIECE letters by pieces that
+overlap by half as well, so a verbatim passage of 3 PIECE / 2 letters is found wherever in an item it starts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from spindrel.llm.shingles import slices
 
 #: Letters of a q-gram; letters of a part of an item; edits that a part may have, in hundredths of its letters.
 Q, PART, EDITS = 12, 120, 5
+#: Letters of a piece, which is a shorter part; pieces start at every half of it.
+PIECE = 60
 #: Letters of a shorter item below which it must stand in a text exactly and whole.
 SHORT = 24
 #: Bytes of benchmark text that may be sent to all tasks at once; a larger benchmark is used in blocks of this size.
@@ -61,10 +64,12 @@ def _codes(text: str) -> np.ndarray:
 
 
 def parts(codes: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the parts of an item: of near equal lengths of at most PART; a short item has one."""
-    k = -(-len(codes) // PART)
-    cuts = [len(codes) * i // k for i in range(k + 1)] if k else []
-    return list(zip(cuts, cuts[1:]))
+    """(start, end) of the parts of an item: of near equal lengths of at most PART, then the overlapping pieces; a short item has one part."""
+    n = len(codes)
+    k = -(-n // PART)
+    cuts = [n * i // k for i in range(k + 1)] if k else []
+    starts = [*range(0, n - PIECE, PIECE // 2), n - PIECE] if n > PIECE else []
+    return list(dict.fromkeys([*zip(cuts, cuts[1:]), *((a, a + PIECE) for a in starts)]))
 
 
 def banded(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[int, int] | None:
