@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.sampling import least_by_hash
+from spindrel.llm.sampling import least_by_hash_within
 from spindrel.llm.shingles import slices
 
 #: Units of each direction; bytes that are read before the states start afresh; parts of texts read at once.
@@ -152,10 +152,14 @@ def held_out(id_col: str = "doc_id", mod: int = 3, rest: int = 1):
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from (doc_id, text, lang) rows: parts of at most ``sample`` texts, the ones with the least hash of id and text."""
-    some = least_by_hash(labelled.where("lang is not null").select("doc_id", "text", "lang"), ["doc_id", "text"], sample).withColumn("h", F.xxhash64("text"))
+    """A network from (doc_id, text, lang) rows: parts of at most ``sample`` texts, within each language the ones with the least hash of id and text.
+
+    The languages are those of all rows whose text has a letter, however few; the sample is shared out evenly among them (more languages than ``sample`` have a text each).
+    """
+    known = labelled.where("lang is not null").select("doc_id", "text", "lang").where("text rlike '\\\\p{L}'")
+    some = least_by_hash_within(known, "lang", ["doc_id", "text"], sample).withColumn("h", F.xxhash64("text"))
     starts = [F.substring("text", F.expr(f"1 + cast(pmod(h, greatest(1, length(text) - {PART})) * {k} / {max(1, PARTS - 1)} as int)"), F.lit(PART)) for k in range(PARTS)]
-    rows = some.where("length(text) > 0").select("lang", F.array(*starts).alias("parts")).collect()
+    rows = some.select("lang", F.array(*starts).alias("parts")).collect()
     rows.sort(key=lambda r: (r["parts"], r["lang"]))
     languages = sorted({r["lang"] for r in rows}) or [UNDETERMINED]
     number = {k: i for i, k in enumerate(languages)}
