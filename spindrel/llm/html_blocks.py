@@ -38,6 +38,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img td th output meter progress".split())
 #: Opening one of these ends an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; any other tag, and text, ends a head that is still open.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
@@ -69,6 +71,8 @@ def blocks(page: str) -> list[Block]:
 
     def text(part: str) -> None:
         nonlocal linked, where
+        if hidden and stack[-1][0] == "head" and part.strip():
+            pop(len(stack) - 1)
         if part and not hidden:
             if not words or not where:
                 where = tuple(stack)
@@ -103,6 +107,8 @@ def blocks(page: str) -> list[Block]:
             continue
         end, tag = found[1], found[2].lower()
         block = tag not in INLINE
+        if hidden and stack[-1][0] == "head" and (tag in ("body", "html", "br") if end else tag not in IN_HEAD):
+            pop(len(stack) - 1)
         if tag in ("br", "td", "th"):
             text(" ")
         if block and not hidden:
