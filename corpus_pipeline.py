@@ -31,16 +31,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, likeness 0.8): the one with the smallest id; documents without words stay.
+    """One document of each group of near copies (five words, likeness 0.8): the one with the smallest id, of several such by a hash of the text; documents without words stay.
 
-    A document without id goes by a negative number made from its text; rows that repeat whole count once.
+    Rows are told apart by id and text, so other texts of an id that repeats stay or go by themselves. A document without id goes by a negative number made from its text;
+    rows that repeat whole count once.
     """
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - 1))
-    members, _ = ngram_jaccard.ngram_jaccard_join(keyed.select("__id", "text"), words=5, percent=80, id_col="__id")
-    gone = members.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    repeated = members.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
-    kept = keyed.join(gone.union(repeated).distinct(), "__id", "left_anti")
-    again = keyed.join(repeated.join(gone, "__id", "left_anti"), "__id", "left_semi").dropDuplicates(["__id", "text"])
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - 1)).withColumn("__key", F.xxhash64("__id", "text"))
+    found, _ = ngram_jaccard.ngram_jaccard_join(keyed.select("__key", "text"), words=5, percent=80, id_col="__key")
+    members = save(found.select(F.col("doc_id").alias("__key"), "component_id").groupBy("__key", "component_id").agg(F.count(F.lit(1)).alias("n")).join(keyed.select("__key", "__id").distinct(), "__key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first"))
+    members = members.join(first, "component_id").select("__key", "n", (F.col("first.__key") == F.col("__key")).alias("stays"))
+    kept = keyed.join(members.where("not stays or n > 1").select("__key"), "__key", "left_anti")
+    again = keyed.join(members.where("stays and n > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__id", "text"])
     return kept.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
 
 
