@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and phrases.
 
 Leaves are phrases; a paragraph is a line, and a section ends at a blank line or after a paragraph whose own hash says so, so that an edit moves no later border. Each
-inner hash covers its children's hashes in order. The fingerprint is the root followed by the tree, so equal texts have equal fingerprints, roots alone test
+inner hash covers its children's hashes in order, of 16 bytes all; only the leaf hashes that are kept to compare texts by are short. The fingerprint is the root followed by the tree, so equal texts have equal fingerprints, roots alone test
 equality, and unequal branches of two trees lead to the edits.
 """
 
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a hash below the root.
-SMALL = 4
+#: Bytes of a hash, and of a leaf's hash as it is kept.
+FULL, SMALL = 16, 4
 #: One paragraph in so many ends a section.
 SECTION = 8
 #: Borders depend on the words beside them alone (six letters that many languages have, and marks), so an edit moves the few around it.
 _PHRASE = re.compile(r".{12,120}?[dhlptxDHLPTX.!?$|*]\s+|.{60,120}?\s+|.{1,120}", re.S)
 
 
-def _hash(data: bytes, size: int = SMALL) -> bytes:
+def _hash(data: bytes, size: int = FULL) -> bytes:
     return blake2b(data, digest_size=size).digest()
 
 
@@ -36,26 +36,29 @@ def phrases(line: str) -> list[str]:
 
 
 class Tree:
-    """root: 16 bytes; sections: lists of paragraphs, each the hashes and code points of its phrases."""
+    """root: 16 bytes; sections: lists of paragraphs, each the short hashes and code points of its phrases; marks: the paragraphs' hashes by section."""
 
-    def __init__(self, sections: list[list[list[tuple[bytes, int]]]]) -> None:
-        self.sections = sections
-        self.marks = [[_hash(b"p" + b"".join(h for h, _ in p)) for p in s] for s in sections]
-        self.tops = [_hash(b"s" + b"".join(m)) for m in self.marks]
-        self.root = _hash(b"d" + b"".join(self.tops), 16)
+    def __init__(self, sections: list[list[list[tuple[bytes, int]]]], marks: list[list[bytes]]) -> None:
+        self.sections, self.marks = sections, marks
+        self.tops = [_hash(b"s" + b"".join(m)) for m in marks]
+        self.root = _hash(b"d" + b"".join(self.tops))
 
     @classmethod
     def of(cls, text: str) -> "Tree":
-        sections, now = [], []
+        sections, marks, now, own = [], [], [], []
         for line in text.split("\n"):
-            p = [(_hash(b"l" + s.encode("utf-8", "surrogatepass")), len(s)) for s in phrases(line)]
-            now.append(p)
-            if not line.strip() or _hash(b"p" + b"".join(h for h, _ in p))[0] % SECTION == 0:
+            found = phrases(line)
+            hashes = [_hash(b"l" + s.encode("utf-8", "surrogatepass")) for s in found]
+            now.append([(h[:SMALL], len(s)) for h, s in zip(hashes, found)])
+            own.append(_hash(b"p" + b"".join(hashes)))
+            if not line.strip() or own[-1][0] % SECTION == 0:
                 sections.append(now)
-                now = []
+                marks.append(own)
+                now, own = [], []
         if now:
             sections.append(now)
-        return cls(sections)
+            marks.append(own)
+        return cls(sections, marks)
 
     def leaves(self) -> Counter:
         out = Counter()
@@ -66,10 +69,10 @@ class Tree:
         return out
 
     def dump(self) -> str:
-        """root:tree; the tree has a byte string of counts, code points and leaf hashes, in base 64."""
+        """root:tree; the tree has a byte string of counts, code points, leaf hashes and marks, in base 64."""
         counts = [len(self.sections)] + [len(s) for s in self.sections] + [len(p) for s in self.sections for p in s]
         leaves = [x for s in self.sections for p in s for x in p]
-        raw = np.array([len(counts), *counts, *[n for _, n in leaves]], "<u4").tobytes() + b"".join(h for h, _ in leaves)
+        raw = np.array([len(counts), *counts, *[n for _, n in leaves]], "<u4").tobytes() + b"".join(h for h, _ in leaves) + b"".join(m for s in self.marks for m in s)
         return self.root.hex() + ":" + base64.b64encode(raw).decode()
 
     @classmethod
@@ -84,7 +87,9 @@ class Tree:
         at = 4 + 4 * n + 4 * total
         leaves = iter([(raw[at + SMALL * i : at + SMALL * (i + 1)], m) for i, m in enumerate(sizes)])
         lines = iter([[next(leaves) for _ in range(c)] for c in per_paragraph])
-        return cls([[next(lines) for _ in range(c)] for c in per_section])
+        at += SMALL * total
+        marks = iter([raw[at + FULL * i : at + FULL * (i + 1)] for i in range(len(per_paragraph))])
+        return cls([[next(lines) for _ in range(c)] for c in per_section], [[next(marks) for _ in range(c)] for c in per_section])
 
 
 def likeness(a: Tree, b: Tree) -> float:
