@@ -1,8 +1,9 @@
 """Quality scores by regularised quadratic discriminant analysis of document statistics.
 
 Statistics of a text's bytes (shares of character kinds, repeats of bytes and words, lengths, entropy) are transformed to be closer to normal:
-arc sine of the root for shares, logarithm for lengths. Each class has a mean and a covariance shrunk towards its diagonal
-and towards the pooled covariance; its Cholesky factor is kept, so a score costs one triangular product a class.
+arc sine of the root for shares, logarithm for lengths. Each class has a mean and a covariance shrunk towards the pooled covariance and towards its
+diagonal, by the weights under which held-out rows of the sample are likeliest; no variance falls below a share of the variance over all rows, as a class may
+never have shown what it can do. The Cholesky factors are kept, so a score costs one triangular product a class.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from spindrel.llm.shingles import buffers, slices, word_hashes
 
 #: Labelled texts that the classifier is fitted on at most.
 SAMPLE = 20_000
-#: Weights of the pooled covariance, of the diagonal, and a floor of each variance.
-POOLED, DIAGONAL, FLOOR = 0.1, 0.05, 1e-3
+#: Weights of the pooled covariance and of the diagonal that are tried, parts of the sample that are held out in turn, and the least variance of a class against that of all rows.
+POOLED, DIAGONAL, FOLDS, FLOOR = (0.1, 0.3, 0.6, 1.0), (0.05, 0.3, 1.0), 5, 0.3
+#: Least scale of a statistic, about the noise of a share among a hundred words, and scales from the middle beyond which a value counts no further.
+NOISE, FAR = 0.05, 4.0
 #: Bytes of usual text that each text's counts start from.
 PRIOR = 150
 #: Counts of a text: 256 bytes, like neighbours, ends of words, words, repeated words.
@@ -69,30 +72,55 @@ def statistics(found: np.ndarray, usual: np.ndarray) -> np.ndarray:
     return np.column_stack((np.arcsin(np.sqrt(np.clip(share, 0, 1))), np.log1p(kinds[:, :2].sum(1) / (found[:, 257] + 1e-9)), entropy, twice))
 
 
+def _shrunk(x: np.ndarray, y: np.ndarray, pooled_weight: float, diagonal_weight: float) -> list[tuple]:
+    """(mean, inverse Cholesky factor, half the log determinant, log prior) of each class."""
+    means = [x[y == k].mean(0) for k in (0, 1)]
+    within = x - np.where((y == 1)[:, None], means[1], means[0])
+    pooled = within.T @ within / len(x)
+    out = []
+    for k in (0, 1):
+        own = within[y == k]
+        cov = (1 - pooled_weight) * (own.T @ own / len(own)) + pooled_weight * pooled
+        cov = (1 - diagonal_weight) * cov + diagonal_weight * np.diag(np.diag(cov))
+        cov += np.diag(np.maximum(0, FLOOR - np.diag(cov)))
+        factor = np.linalg.cholesky(cov + 1e-6 * np.eye(len(cov)))
+        out.append((means[k], np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log((len(own) + 1) / (len(x) + 2))))
+    return out
+
+
+def _densities(x: np.ndarray, parts: list[tuple]) -> np.ndarray:
+    """(row, class) log density, up to a constant that the classes share, from Mahalanobis distances."""
+    return np.column_stack([prior - half_log_det - 0.5 * (((x - mean) @ inverse.T) ** 2).sum(1) for mean, inverse, half_log_det, prior in parts])
+
+
 class Discriminant:
     """Two Gaussians with shrunk covariances; score is the probability of class 1."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, usual: np.ndarray) -> None:
         self.usual = usual
-        self.middle, self.scale = x.mean(0), x.std(0) + 1e-6
-        x = (x - self.middle) / self.scale
-        pooled = np.cov(x.T, bias=True)
-        self.parts = []
-        for k in (0, 1):
-            own = x[y == k]
-            cov = np.cov(own.T, bias=True) if len(own) > 1 else pooled
-            cov = (1 - POOLED) * cov + POOLED * pooled
-            cov = (1 - DIAGONAL) * cov + DIAGONAL * np.diag(np.diag(cov)) + FLOOR * np.eye(len(cov))
-            factor = np.linalg.cholesky(cov)
-            self.parts.append((own.mean(0), np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log((len(own) + 1) / (len(x) + 2))))
+        self.middle, self.scale = x.mean(0), np.maximum(x.std(0), NOISE)
+        x = self._scaled(x)
+        fold = np.arange(len(x)) % FOLDS  # rows come sorted by class, so each fold has its share of both
+        self.weights = max(((p, d) for p in POOLED for d in DIAGONAL), key=lambda w: (self._held_out(x, y, fold, *w), w))
+        self.parts = _shrunk(x, y, *self.weights)
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.middle) / self.scale, -FAR, FAR)
+
+    @staticmethod
+    def _held_out(x: np.ndarray, y: np.ndarray, fold: np.ndarray, pooled: float, diagonal: float) -> float:
+        """Mean log density of each row in its own class, by the rows of the other folds; nothing where a class has too few rows to hold any out."""
+        if min(np.bincount(y, minlength=2)) < 2 * FOLDS:
+            return 0.0
+        total = 0.0
+        for k in range(FOLDS):
+            some = fold == k
+            total += _densities(x[some], _shrunk(x[~some], y[~some], pooled, diagonal))[np.arange(some.sum()), y[some]].sum()
+        return total / len(x)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        x = (x - self.middle) / self.scale
-        density = []
-        for mean, inverse, half_log_det, prior in self.parts:
-            z = (x - mean) @ inverse.T
-            density.append(prior - half_log_det - 0.5 * (z * z).sum(1))
-        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+        density = _densities(self._scaled(x), self.parts)
+        return 1 / (1 + np.exp(np.clip(density[:, 0] - density[:, 1], -700, 700)))
 
 
 class Constant:
