@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrel.llm.scratch import save
 from spindrel.llm.shingles import slices
 
 #: Letters of a q-gram; letters of a part of an item; edits that a part may have, in hundredths of its letters.
@@ -25,12 +27,12 @@ Q, PART, EDITS = 12, 120, 5
 PIECE = 60
 #: Letters of a shorter item below which it must stand in a text exactly and whole.
 SHORT = 24
-#: Bytes of benchmark text that may be sent to all tasks at once; a larger benchmark is used in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Letters and single spaces of an item below which it isn't looked for: a word or two that any text may hold is no leak. short_items lists these items.
+LEAST = 12
+#: Letters of benchmark text that are sent to all tasks at once, as an index of some 35 bytes a letter; a larger benchmark is used in blocks of this size.
+BLOCK = 2 << 20
 #: Letters of a text that are looked at together; bounds a worker's arrays.
 WINDOW = 1 << 20
-#: Bits of the table that most q-grams of a text fail at.
-_BITS = 22
 _DROP = re.compile(r"[\W_]+")
 
 
@@ -72,10 +74,11 @@ def parts(codes: np.ndarray) -> list[tuple[int, int]]:
     return list(dict.fromkeys([*zip(cuts, cuts[1:]), *((a, a + PIECE) for a in starts)]))
 
 
-def banded(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[int, int] | None:
-    """Fewest edits that make a of some stretch of b, with its end in b, if at most ``edits``; the stretch may start anywhere in b.
+def banded(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[int, int, int] | None:
+    """(fewest edits that make a of some stretch of b, its start, its end) if at most ``edits``; the stretch may lie anywhere in b, which is already cut to the band.
 
-    Row i of the table is kept for b's places within the band that b is already cut to; each row is computed at once.
+    Each row of the table is computed at once. The end is the first of the best; the start comes from the same table over both strings backwards from there, and of several starts the one
+    that leaves the stretch nearest to a's length counts, the longer of two.
     """
     row = np.zeros(len(b) + 1, np.int64)
     steps = np.arange(len(b) + 1)
@@ -85,34 +88,64 @@ def banded(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[int, int] | None:
         if row.min() > edits:
             return None
     end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= edits else None
+    k = int(row[end])
+    if k > edits:
+        return None
+    if not k:
+        return 0, end - len(a), end
+    back = b[:end][::-1][: len(a) + k]
+    steps = np.arange(len(back) + 1)
+    row = steps
+    for i, c in enumerate(a[::-1]):
+        turn = np.minimum(row[:-1] + (back != c), row[1:] + 1)
+        row = np.minimum.accumulate(np.concatenate(([i + 1], turn)) - steps) + steps
+    length = min(np.flatnonzero(row == k).tolist(), key=lambda n: (abs(n - len(a)), -n))
+    return k, end - length, end
 
 
 class Index:
-    """The q-grams of a block of benchmark parts."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.parts, g, where, part = [], [], [], []
-        for item, text in items:
-            codes = _codes(plain(text or ""))
+    """The q-grams of a block of benchmark parts: distinct values with, for each, the parts that hold it and where."""
+
+    def __init__(self, items: list[tuple[int, str]], least: int = LEAST) -> None:
+        texts = [(item, _codes(p)) for item, text in items if len(p := plain(text or "")) >= max(1, least)]
+        self.codes = np.concatenate([c for _, c in texts]) if texts else np.empty(0, np.uint32)
+        rows, g, where, part, base = [], [], [], [], 0
+        for item, codes in texts:
+            h = grams(codes)
             for a, b in parts(codes):
-                own = codes[a:b]
                 k = 0 if b - a < SHORT else (b - a) * EDITS // 100
-                h = grams(own) if len(own) >= Q else np.empty(0, np.uint64)
-                need = max(1, len(h) - k * Q)
-                g.append(h)
-                where.append(np.arange(len(h)))
-                part.append(np.full(len(h), len(self.parts)))
-                self.parts.append((item, own, k, need))
-        self.width = np.array([2 * max(1, p[2]) for p in self.parts], np.int64)
-        self.need = np.array([p[3] for p in self.parts], np.int64)
-        self.short = [i for i, p in enumerate(self.parts) if 0 < len(p[1]) < Q]
-        g, where, part = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (g, where, part))
+                n = max(0, b - a - Q + 1)
+                g.append(h[a : a + n])
+                where.append(np.arange(n, dtype=np.uint8))
+                part.append(np.full(n, len(rows), np.int32))
+                rows.append((item, base + a, b - a, k, max(1, n - k * Q)))
+            base += len(codes)
+        columns = list(zip(*rows)) if rows else [()] * 5
+        self.item, self.at, self.size, self.edits, self.need = (np.array(c, np.int64) for c in columns)
+        self.width = 2 * np.maximum(1, self.edits)
+        g, where, part = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((g, np.uint64), (where, np.uint8), (part, np.int32)))
         order = np.argsort(g, kind="stable")
-        self.g, self.where, self.part = g[order].astype(np.uint64), where[order].astype(np.int64), part[order].astype(np.int64)
-        self.first = np.unique(self.g, return_index=True)
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[(self.g >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.where, self.part = where[order], part[order]
+        self.values, first = np.unique(g[order], return_index=True)
+        self.first = np.append(first, len(g)).astype(np.int32)
+        self._rest()
+
+    def _rest(self) -> None:
+        """What is made anew in each worker: the short parts' words, and the table that most q-grams of a text fail at, of some sixteen places a q-gram."""
+        self.words = [(int(self.item[i]), "".join(map(chr, self._own(i)))) for i in np.flatnonzero(self.size < Q)]
+        self.shift = np.uint64(64 - min(26, max(12, (16 * len(self.values)).bit_length())))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[(self.values >> self.shift).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "shift", "table")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._rest()
+
+    def _own(self, i: int) -> np.ndarray:
+        return self.codes[self.at[i] : self.at[i] + self.size[i]]
 
     def find(self, text: str, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the regions of a plain text that hold a part of an item.
@@ -134,47 +167,45 @@ class Index:
     def _find(self, text: str) -> list[tuple[int, int, int, int]]:
         out = []
         codes = _codes(text)
-        for i in self.short:
-            item, own, _, _ = self.parts[i]
-            word = "".join(map(chr, own))
+        for item, word in self.words:
             out += [(item, m.start(), m.end(), 0) for m in re.finditer(rf"(?<!\S){re.escape(word)}(?!\S)", text)]
         h = grams(codes)
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(at) or not len(self.g):
+        at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+        if not len(at) or not len(self.values):
             return out
-        values, first = self.first
-        slot = np.searchsorted(values, h[at])
-        known = slot < len(values)
-        known[known] = values[slot[known]] == h[at][known]
+        slot = np.searchsorted(self.values, h[at])
+        known = slot < len(self.values)
+        known[known] = self.values[slot[known]] == h[at][known]
         at, slot = at[known], slot[known]
         if not len(at):
             return out
-        count = np.diff(np.append(first, len(self.g)))[slot]
-        hit = np.repeat(first[slot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at, part, where = np.repeat(at, count), self.part[hit], self.where[hit]
-        enough = np.bincount(part, minlength=len(self.need))[part] >= self.need[part]
+        count = np.diff(self.first)[slot]
+        hit = np.repeat(self.first[slot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at, part, where = np.repeat(at, count), self.part[hit].astype(np.int64), self.where[hit].astype(np.int64)
+        # of each part, no band can have enough hits if the text as a whole hasn't
+        seen, place = np.unique(part, return_inverse=True)
+        enough = (np.bincount(place) >= self.need[seen])[place]
         if not enough.any():
             return out
         at, part, where = at[enough], part[enough], where[enough]
         width = self.width[part]
         diagonal = at - where + PART  # not negative
+        bands = len(codes) + 3 * PART
         for shift in (0, 1):  # bands of width 2k that overlap by half: edits of up to k lie in one of them whole
             band = (diagonal + shift * (width // 2)) // width
-            key = part * (len(codes) + 3 * PART) + band
+            key = part * bands + band
             order = np.lexsort((where, key))
             k, w = key[order], where[order]
             fresh = np.ones(len(k), bool)
             fresh[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
             ids, counts = np.unique(k[fresh], return_counts=True)
-            of = (ids // (len(codes) + 3 * PART)).astype(np.int64)
-            needs = self.need[of]
-            for i, b in zip(of[counts >= needs].tolist(), (ids % (len(codes) + 3 * PART))[counts >= needs].tolist()):
-                item, own, edits, _ = self.parts[i]
-                wide = 2 * max(1, edits)
+            ids = ids[counts >= self.need[ids // bands]]
+            for i, b in zip((ids // bands).tolist(), (ids % bands).tolist()):
+                own, edits, wide = self._own(i), int(self.edits[i]), int(self.width[i])
                 low = max(0, b * wide - shift * (wide // 2) - PART - edits)
                 found = banded(own, codes[low : low + wide + len(own) + 2 * edits + 1], edits)
                 if found is not None:
-                    out.append((item, max(low, low + found[1] - len(own) - edits), low + found[1], found[0]))
+                    out.append((int(self.item[i]), low + found[1], low + found[2], found[0]))
         return sorted(set(out))
 
 
@@ -194,51 +225,72 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(kinds, ["doc_id", "item_id", "start", "end", "edits"])
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+
+
+def short_items(benchmark: DataFrame, least: int = LEAST, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, text) of the items that are too short to be looked for: fewer than ``least`` letters and single spaces, or none at all."""
+    return _items(benchmark, item_col, text_col).where(F.length(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}\p{M}]+", " "))) < least)
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of BLOCK_BYTES of text; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).where(f"`{text_col}` is not null")
+    """The benchmark's items in blocks of about BLOCK letters; one block is on the driver at a time."""
     now, size = [], 0
-    for item, text in rows.toLocalIterator():
+    for item, text in _items(benchmark, item_col, text_col).toLocalIterator():
         now.append((item, text))
         size += len(text)
-        if size >= BLOCK_BYTES:
+        if size >= BLOCK:
             yield now
             now, size = [], 0
     if now:
         yield now
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _passes(benchmark: DataFrame, least: int, item_col: str, run) -> list[DataFrame]:
+    """run(index) for each block of the benchmark. Of several blocks each result is written before the next block is read, so no more than one index and the block after it are held."""
+    out, items = [], blocks(benchmark, item_col)
+    now = next(items, None)
+    while now is not None:
+        found, now = run(Index(now, least)), next(items, None)
+        out.append(save(found, "leaks") if out or now is not None else found)
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the documents that hold a part of a benchmark item with at most EDITS percent of edits.
 
     One row for each document row and item; start and end are the outermost places of the item's parts in the document's plain text, edits the fewest of one part. All texts are
-    searched whole for all items. Null and empty texts or items have no leaks; repeated rows have a leak each; an empty docs or benchmark gives no rows. The benchmark is a stated query set: it reaches
+    searched whole for all items of ``least`` letters or more (short_items lists the others). Null and empty texts or items have no leaks; repeated rows have a leak each; an empty docs or benchmark gives no rows. The benchmark is a stated query set: it reaches
     the tasks in blocks of bounded size, with one pass over docs for each.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema, out = "doc_id long, item_id long, start long, end long, edits long", None
-    for items in blocks(benchmark):
-        index = Index(items)
-        found = rows.mapInArrow(lambda it, index=index: _search(it, index), schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    schema = "doc_id long, item_id long, start long, end long, edits long"
+    found = _passes(benchmark, least, item_col, lambda index: rows.mapInArrow(lambda it: _search(it, index), schema))
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_at: int, leaked: bool = False) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, batch_text(whole, text_at)):
-            keep = [not (t and index.find(plain(t))) for t in batch.column(text_at).to_pylist()]
+        for batch in slices(whole, whole.schema.names[text_at]):
+            keep = [bool(t and index.find(plain(t))) == leaked for t in batch.column(text_at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def batch_text(batch: pa.RecordBatch, text_at: int) -> str:
-    return batch.schema.names[text_at]
-
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", least: int = LEAST) -> DataFrame:
+    """docs without the rows whose text holds a part of a benchmark item, as find_leaks finds it; all columns stay as they are.
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text holds a part of a benchmark item, as find_leaks finds it; all columns stay as they are."""
-    out, at = docs, docs.columns.index(text_col)
-    for items in blocks(benchmark):
-        index = Index(items)
-        out = out.mapInArrow(lambda it, index=index: _clean(it, index, at), docs.schema)
-    return out
+    A benchmark of one block is a filter. Of several blocks each writes the SHA-256 of the texts that hold one of its items, and these texts go by an anti-join.
+    """
+    items = blocks(benchmark, item_col)
+    first, more = next(items, None), next(items, None)
+    if first is None:
+        return docs
+    at = docs.columns.index(text_col)
+    if more is None:
+        index = Index(first, least)
+        return docs.mapInArrow(lambda it: _clean(it, index, at), docs.schema)
+    name = F.sha2(F.col(f"`{text_col}`").cast("string"), 256).alias("__sha")
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    leaked = _passes(benchmark, least, item_col, lambda index: texts.mapInArrow(lambda it: _clean(it, index, 0, True), "text string").select(F.sha2("text", 256).alias("__sha")).distinct())
+    return docs.withColumn("__sha", name).join(reduce(DataFrame.union, leaked).distinct(), "__sha", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

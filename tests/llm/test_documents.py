@@ -118,10 +118,10 @@ def test_leaks_match_brute_force(spark):
                     hit = brute_edits(part, p) <= k
                 if hit:
                     expected.add((doc, item))
-    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as edits"), spark.createDataFrame(items, "item_id long, text string"))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as edits"), spark.createDataFrame(items, "item_id long, text string"), least=1)
     rows = [(x.doc_id, x.item_id) for x in found.collect()]
     assert set(rows) == expected and Counter(rows)[100, 6] == 2
-    clean = decontaminate.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    clean = decontaminate.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least=1)
     assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
     assert decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
@@ -131,7 +131,7 @@ def test_long_texts_are_read_in_windows():
     words = ["".join(r.choice(list("abcdefgh"), r.integers(2, 8))) for _ in range(300)]
     items = [(i, " ".join(r.choice(words, 30))) for i in range(5)] + [(9, "tiny")]
     text = " ".join(" ".join(r.choice(words, 200)) + f" {items[i % 6][1]}" for i in range(24))
-    index = decontaminate.Index(items)
+    index = decontaminate.Index(items, least=1)
     whole = index.find(text, 10**9)
     assert {x[0] for x in whole} == {0, 1, 2, 3, 4, 9}
     parts = index.find(text, 700)
