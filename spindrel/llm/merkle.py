@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrel.llm.sampling import least_by_hash
+
 #: Bytes of a hash, and of a leaf's hash as it is kept.
 FULL, SMALL = 16, 4
 #: One paragraph in so many ends a section.
@@ -60,14 +62,17 @@ class Tree:
             marks.append(own)
         return cls(sections, marks)
 
-    def leaves(self) -> Counter:
+    def leaves(self, places: list[tuple[int, int]]) -> Counter:
+        """Code points by leaf hash in the paragraphs at these (section, paragraph) places."""
         out = Counter()
-        for s in self.sections:
-            for p in s:
-                for h, n in p:
-                    out[h] += n
+        for i, j in places:
+            for h, n in self.sections[i][j]:
+                out[h] += n
         return out
 
+    def size(self) -> int:
+        return sum(n for s in self.sections for p in s for _, n in p)
+
     def dump(self) -> str:
         """root:tree; the tree has a byte string of counts, code points, leaf hashes and marks, in base 64."""
         counts = [len(self.sections)] + [len(s) for s in self.sections] + [len(p) for s in self.sections for p in s]
@@ -92,29 +97,43 @@ class Tree:
         return cls([[next(lines) for _ in range(c)] for c in per_section], [[next(marks) for _ in range(c)] for c in per_section])
 
 
+def _unmatched(a: list[bytes], b: list[bytes]) -> list[int]:
+    """Places of a whose hashes b lacks, as often as it lacks them."""
+    left = Counter(b)
+    out = []
+    for i, h in enumerate(a):
+        if left[h] > 0:
+            left[h] -= 1
+        else:
+            out.append(i)
+    return out
+
+
+def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """(section, paragraph) places of a that lie in sections b lacks and whose own hashes the sections of b that a lacks lack too: equal branches are skipped from the top."""
+    if a.root == b.root:
+        return []
+    own = [(i, j) for i in _unmatched(a.tops, b.tops) for j in range(len(a.marks[i]))]
+    other = [m for i in _unmatched(b.tops, a.tops) for m in b.marks[i]]
+    return [own[k] for k in _unmatched([a.marks[i][j] for i, j in own], other)]
+
+
 def likeness(a: Tree, b: Tree) -> float:
-    """Share of the code points of both texts that lie in phrases of both; 1 for equal roots."""
+    """Share of the code points of both texts that lie in phrases of both: 1 for equal roots, less for any others.
+
+    Only paragraphs in branches that differ are compared phrase by phrase; all else lies in equal branches, which match whole.
+    """
     if a.root == b.root:
         return 1.0
-    x, y = a.leaves(), b.leaves()
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else 0.0
+    x, y = a.leaves(differing(a, b)), b.leaves(differing(b, a))
+    total = a.size() + b.size()
+    apart = sum(x.values()) + sum(y.values()) - 2 * sum((x & y).values())
+    return min(1 - apart / total, 1 - 1 / (total + 1)) if total else 0.0
 
 
-def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """(section, paragraph) places of a whose hashes b lacks: equal branches are skipped from the top."""
-    tops, marks = Counter(b.tops), Counter(m for s in b.marks for m in s)
-    out = []
-    for i, top in enumerate(a.tops):
-        if tops[top]:
-            tops[top] -= 1
-            continue
-        for j, m in enumerate(a.marks[i]):
-            if marks[m]:
-                marks[m] -= 1
-            else:
-                out.append((i, j))
-    return out
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two fingerprints."""
+    return likeness(Tree.load(a), Tree.load(b))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +148,6 @@ def fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     return rows.mapInArrow(_fingerprints, schema)
 
 
-
-
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, own, doc_id, text) by part and descending id -> each own row with its edited text's fingerprint; the row after it is its next."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -162,36 +179,45 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+#: Rows of the sample, for each part, that the order is cut by.
+PER_PART = 32
+_ORDER = "struct(coalesce(doc_id, -9223372036854775808L) AS id, if(doc_id IS NULL, 0, 1) AS known, xxhash64(text) AS h)"
+
+
+def _part_of(cuts: list[tuple[int, int, int]]):
+    """How many cuts lie above a row's place in the order, by one look at every k-th cut and one at those between; cuts ascend."""
+    if not cuts:
+        return F.lit(0)
+    k = max(1, int(len(cuts) ** 0.5))
+    one = lambda c: F.struct(F.lit(c[0]).cast("long").alias("id"), F.lit(c[1]).alias("known"), F.lit(c[2]).cast("long").alias("h"))
+    groups = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+    at = F.size(F.filter(F.array(*[one(g[0]) for g in groups]), lambda c: c <= F.col("__order")))
+    inside = F.size(F.filter(F.element_at(F.array(*[F.array(*map(one, g)) for g in groups]), F.greatest(at, F.lit(1))), lambda c: c <= F.col("__order")))
+    return F.lit(len(cuts)) - F.when(at == 0, 0).otherwise((at - 1) * k + inside)
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit: its last third replaced by the start of the next document, in descending id order (after the last: the first).
 
-    The id order is cut into parts at quantiles of the ids; the first row of each part also goes to the part before it, so that every row meets its next. Only the ids of these
-    rows, one a part, are gathered beforehand. Null texts are empty; rows without id come last in the order; of rows with one id the order is by text. An empty docs gives no rows; a
-    single row is its own next.
+    The order, by id and of rows with one id by a hash of the text, is cut into parts at places of a bounded sample of rows (PER_PART a part), so null ids or one id of many rows are
+    cut up as well; the first row of each part also goes to the part before it, so that every row meets its next. Only the places of these rows, one a part, are gathered beforehand. Null
+    texts are empty; rows without id come last in the order; an empty docs gives no rows; a single row is its own next.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__order", F.expr(_ORDER))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    cuts = np.array([int(c) for c in cuts], np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(ids):
-        # the part of the greatest ids is 0; null ids are in the last part
-        part = len(cuts) - np.searchsorted(cuts, ids.fillna(np.iinfo(np.int64).min).astype("int64"), "right")
-        return type(ids)(part.astype("int32"))
-
-    ids = rows.select("doc_id").withColumn("part", part_of("doc_id"))
-    heads = {r["part"]: r["top"] for r in ids.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
+    some = sorted(tuple(r[0]) for r in least_by_hash(rows.select("__order", F.xxhash64("__order").alias("by")), ["by"], PER_PART * parts).select("__order").collect())
+    cuts = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if len(some) > 1 else []
+    tagged = rows.withColumn("part", _part_of(cuts))
+    heads = {r["part"]: r["top"] for r in tagged.groupBy("part").agg(F.max("__order").alias("top")).collect()}
     if not heads:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first part's first row is the next of the very last
-    # A row that has the greatest id of its part is copied to the part before; of several with this id, the one that stands first.
-    first = spark.createDataFrame([(p, heads[p], before[p]) for p in order], "part int, top long, halo int")
-    tagged = rows.withColumn("part", part_of("doc_id"))
-    tops = tagged.join(F.broadcast(first), "part").where("doc_id <=> top")
-    tops = tops.groupBy("part", "halo").agg(F.min(F.struct("text", "doc_id")).alias("r")).select(F.col("halo").alias("part"), F.lit(False).alias("own"), "r.doc_id", "r.text")
-    both = tagged.select("part", F.lit(True).alias("own"), "doc_id", "text").union(tops)
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    # A row that stands first in its part is copied to the part before; of several with this place, the one with the least text.
+    first = spark.createDataFrame([(p, heads[p], before[p]) for p in order], "part int, top struct<id: long, known: int, h: long>, halo int")
+    tops = tagged.join(F.broadcast(first), "part").where("__order = top")
+    tops = tops.groupBy("part", "halo").agg(F.min(F.struct("text", "doc_id", "__order")).alias("r")).select(F.col("halo").alias("part"), F.lit(False).alias("own"), "r.doc_id", "r.text", "r.__order")
+    both = tagged.select("part", F.lit(True).alias("own"), "doc_id", "text", "__order").union(tops)
+    dealt = both.repartitionById(max(parts, len(cuts) + 1), F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("__order"), "text").select("part", "own", "doc_id", "text")
     return dealt.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
