@@ -13,13 +13,24 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node hands its larger (large) or its smaller neighbours and itself to the least node that it knows."""
+#: A node counts as a hub from this many links on, or from one of HUBS of all rows on where that is more; so there are no more than HUBS hubs, which reach all tasks.
+HUB, HUBS = 1000, 1000
+
+
+def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
+    """Each node hands its larger (large) or its smaller neighbours and itself to the least node that it knows. ``rows`` is the number of edges.
+
+    The links of a hub stay where they are and meet the hub's least node, which is broadcast; all others are joined by node.
+    """
     both = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x"))
     if not large:
         both = both.where("v < u")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = both.where("v > u").join(least, "u") if large else both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = save(least, "least")
+    most = max(HUB, -(-2 * rows // HUBS))
+    hubs = F.broadcast(least.where(F.col("n") >= most).select("u", F.col("m").alias("hub")))
+    marked = (both.where("v > u") if large else both).join(hubs, "u", "left")
+    moved = marked.where("hub is not null").select("v", F.col("hub").alias("m")).union(marked.where("hub is null").join(least.where(F.col("n") < most).select("u", "m"), "u").select("v", "m"))
     out = moved.select(F.col("v").alias("y"), F.col("m").alias("x"))
     if not large:
         out = out.union(least.select(F.col("u"), F.col("m")))
@@ -31,12 +42,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Only nodes with links have rows. Each round is written to the scratch folder, so a lost executor
     costs one round at most; the number of rounds grows with the logarithm of the component sizes. Nulls, loops and
-    repeated links are ignored. Hub nodes are rows of a join that Spark may split.
+    repeated links are ignored.
     """
     now = save(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x < y").distinct(), "edges")
     before = _state(now)
     while before[0]:
-        now = save(_star(_star(now, True), False), "edges")
+        larger = save(_star(now, before[0], True), "edges")
+        now = save(_star(larger, larger.count(), False), "edges")
         after = _state(now)
         if after == before:
             break

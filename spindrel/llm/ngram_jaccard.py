@@ -10,8 +10,11 @@ pairs whose summed count stays below the bound are discarded. The others are com
 A column with more than ``longest`` classes isn't multiplied. A class counts how many such columns it has; the
 bound is lowered by the smaller count, and as long as that count is below p - m, no link of the class can be lost. Classes with more are
 *crowded*; those that share a long column and are near in size form clusters, and each cluster goes through a second product over
-all its shingles, in pairs of blocks of bounded size. A pair of blocks hands on the links that join its classes, not all of them, so a large group of near copies
-makes about as many rows as it has classes, and no two different texts that are linked are left apart.
+all its shingles, in blocks of bounded size. First each block meets itself and the leading blocks of like sizes; what isn't in the cluster's largest group after that
+meets all blocks of like sizes, so a large group of near copies costs about as many products as it has blocks, and pairs inside the group need none. A product
+hands on the links that join its classes, not all of them, and no two different texts that are linked are left apart.
+
+Columns that a sample of the incidence matrix proves to be long are never gathered: their rows go to the second product from where they are.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spindrel.llm.components import components
 from spindrel.llm.scratch import save
-from spindrel.llm.shingles import buffers, shingle_sets, slices
+from spindrel.llm.shingles import buffers, mix, shingle_sets, slices
 
 #: Classes of a column above which the first product leaves it to the second.
 LONGEST = 32
@@ -48,8 +51,10 @@ def shared(n, num: int, den: int):
     return kept(n, num, den) - lacking(n, num, den)
 
 
-def _class_of(s: np.ndarray) -> int:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from all others, in two halves; the first names the class."""
+    h = blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def _incidence(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -58,20 +63,41 @@ def _incidence(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int
             n, cls, least = [], [], []
             for s in shingle_sets(*buffers(batch.column(1)), words):
                 n.append(len(s))
-                cls.append(_class_of(s) if len(s) else None)
+                cls.append(_class_of(s) if len(s) else (None, None))
                 least.append(s[: int(kept(len(s), num, den))].tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.binary())], ["doc_id", "n", "cls", "least"])
+            halves = [pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *halves, pa.array(least, pa.binary())], ["doc_id", "n", "cls", "rest", "least"])
+
+
+#: Rows of the incidence matrix's sample, about; long columns are found in it.
+COLUMN_SAMPLE = 1 << 18
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, n, least) -> (gram, cls, n), a row for each shingle that enters the product."""
+def _columns(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
+    """(cls, n, least) -> (gram, cls, n), a row for each shingle that enters the product and that take(grams, cls) takes."""
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
             each = part.column(2).to_pylist()
             counts = [len(b) // 8 for b in each]
             cls, n = (np.repeat(part.column(i).to_numpy(), counts) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(each), np.int64)), pa.array(cls), pa.array(n.astype(np.int32))], ["gram", "cls", "n"])
+            gram = np.frombuffer(b"".join(each), np.int64)
+            if (some := take(gram, cls)) is not None:
+                gram, cls, n = gram[some], cls[some], n[some]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(cls), pa.array(n.astype(np.int32))], ["gram", "cls", "n"])
+
+
+def _in_sample(share: float):
+    """Takes a share of the rows, by a hash of gram and class."""
+    top = np.uint64(min(2**64 - 1, int(share * 2**64)))
+    return lambda gram, cls: mix(gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64)) <= top
+
+
+def _known(grams: np.ndarray, inside: bool):
+    """Takes the rows whose gram is one of the sorted grams, or isn't."""
+    if not len(grams):
+        return (lambda gram, cls: np.zeros(len(gram), bool)) if inside else (lambda gram, cls: None)
+    return lambda gram, cls: (grams[np.minimum(np.searchsorted(grams, gram), len(grams) - 1)] == gram) == inside
 
 
 def _multiply(batches: Iterator[pa.RecordBatch], num: int, den: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -134,7 +160,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for whole in batches:
         for batch in slices(whole, limit=2 << 20):
             sets = list(shingle_sets(*buffers(batch.column(1)), words))
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "grams"])
+            names = [_class_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*[pa.array([c[i] for c in names], pa.int64()) for i in (0, 1)], pa.array([s.tobytes() for s in sets], pa.binary())], ["first", "rest", "grams"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -169,8 +196,11 @@ def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _product(table: pa.Table, num: int, den: int) -> pa.Table:
-    """All sets of one pair of blocks (cls, grams) -> links that join them, from the product of their incidence matrices, column block by column block."""
-    cls = table.column("cls").to_numpy()
+    """The sets of a block, or of two (cls, second, grams) -> links that join them, from the product of their incidence matrices, column block by column block.
+
+    Of two blocks only pairs across count.
+    """
+    cls, second = table.column("cls").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
     n = np.array([len(x) for x in sets])
     grams, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -179,39 +209,92 @@ def _product(table: pa.Table, num: int, den: int) -> pa.Table:
     row, column = row[several], np.unique(column[several], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(sets)),) * 2
+    overlap = np.zeros((len(a), len(b)), np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        a, b = np.searchsorted(column, (c, c + 2048))
+        i, j = np.searchsorted(column, (c, c + 2048))
         part = np.zeros((len(sets), 2048), np.float32)
-        part[row[a:b], column[a:b] - c] = 1
-        overlap += part @ part.T
-    linked = overlap.astype(np.float64) * (num + den) >= num * (n[:, None] + n).astype(np.float64)
-    np.fill_diagonal(linked, False)
+        part[row[i:j], column[i:j] - c] = 1
+        overlap += part[a] @ part[b].T
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(a, b)] = overlap.astype(np.float64) * (num + den) >= num * (n[a][:, None] + n[b]).astype(np.float64)
+    linked |= linked.T
+    linked &= cls[:, None] != cls
     a, b = _forest(linked)
     return pa.table({"x": pa.array(cls[a], pa.int64()), "y": pa.array(cls[b], pa.int64())})
 
 
-#: Shingles of a block of the second product, and the least that a class counts for: 512 classes a block at most.
+#: Shingles that a block of the second product should hold, and the least that a class counts for: some 500 classes a block at most.
 BLOCK, LEAST = 1 << 17, 1 << 8
 
 
+def _dealt(members: DataFrame, name: str) -> DataFrame:
+    """(comp, span, cls, weight) with the column ``name``: the block of each, of about BLOCK shingles, by a hash of the class."""
+    room = members.groupBy("comp", "span").agg(F.ceil(F.sum("weight") * 4 / (3 * BLOCK)).cast("long").alias("room"))
+    return members.join(room, ["comp", "span"]).withColumn(name, F.expr("pmod(xxhash64(cls), room)")).drop("room")
+
+
 def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     """(cls, gram, n) of crowded classes -> links among them.
 
-    Linked classes stand in one long column at least, and all between them in the column's order by size are near enough in size to be chained, so links never leave a cluster.
+    Linked classes stand in one long column at least, and their sizes are in the same span or in spans side by side, where a span reaches over more than linked sizes can differ. A class is tied to
+    its column's span and the next, so links never leave a cluster of tied classes.
     """
-    chain = long.selectExpr("cls as y", "lag(cls) over (partition by gram order by n, cls) as x", "n as ny", "lag(n) over (partition by gram order by n, cls) as nx")
-    clusters = components(chain.where(f"x is not null and nx * {den} >= ny * {num}").select("x", "y"))
+    span = F.floor(F.log("n") / max(0.05, 4 * float(np.log(den / num)))).cast("long")
+    ties = long.select("cls", "gram", F.explode(F.array(span, span + 1)).alias("span")).select(F.col("cls").alias("x"), F.xxhash64("gram", "span").alias("y"))
+    clusters = components(ties)
     sizes = long.groupBy("cls").agg(F.first("n").alias("n"))
-    members = clusters.withColumnRenamed("node", "cls").join(sizes, "cls").withColumn("block", F.expr(f"cast(sum(greatest(n, {LEAST})) over (partition by comp order by n, cls rows between unbounded preceding and current row) div {BLOCK} as int)"))
-    members = save(members, "members")
-    blocks = members.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    after = blocks.select("comp", F.col("block").alias("j"), F.col("least").alias("next"))
-    turns = blocks.join(after, "comp").where(f"block <= j and most * {den} >= next * {num}").select("comp", F.col("block").alias("i"), "j")
-    sides = turns.select("comp", "i", "j", F.col("i").alias("block")).union(turns.where("i < j").select("comp", "i", "j", F.col("j").alias("block")))
-    dealt = members.select("comp", "block", "cls").join(sides, ["comp", "block"]).join(sets_of(members.select("cls"), "crowded-sets"), "cls")
-    found = dealt.select("comp", "i", "j", "cls", "grams").groupBy("comp", "i", "j").applyInArrow(lambda t: _product(t, num, den), "x long, y long")
-    return save(found.distinct(), "cluster-links")
+    members = save(clusters.withColumnRenamed("node", "cls").join(sizes, "cls").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "clusters")
+    # a cluster that fits a block is one; others are dealt span by span
+    whole = members.groupBy("comp").agg(F.sum("weight").alias("all")).where(F.col("all") <= BLOCK).select("comp", F.lit(-1).cast("long").alias("one"))
+    members = members.join(whole, "comp", "left").withColumn("span", F.coalesce("one", span)).drop("one")
+    members = save(_dealt(members, "block"), "members")
+    blocks = members.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sets = sets_of(members.select("cls"), "crowded-sets")
+
+    def products(first: DataFrame, second: DataFrame | None, name: str) -> DataFrame:
+        """Links of turns: (turn, comp, span, block) sides of own pairs, or also second sides that meet the first."""
+        sides = first.select("turn", "comp", "span", "cls", F.lit(False).alias("second"))
+        if second is not None:
+            sides = sides.union(second.select("turn", "comp", "span", "cls", F.lit(True).alias("second")))
+        dealt = sides.join(sets, "cls").select("turn", "cls", "second", "grams")
+        return save(dealt.groupBy("turn").applyInArrow(lambda t: _product(t, num, den), "x long, y long").distinct(), name)
+
+    own = products(members.withColumn("turn", F.struct("comp", "span", "block")), None, "own-links")
+    several = blocks.where("span >= 0")
+    if not several.limit(1).count():
+        return own
+
+    def near(a: str, b: str) -> str:
+        return f"{a}.comp = {b}.comp and {a}.span - {b}.span in (-1, 0, 1) and {a}.least * {num} <= {b}.most * {den} and {b}.least * {num} <= {a}.most * {den}"
+
+    def turns(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of blocks of one cluster whose sizes allow links; each span of a meets three spans of b."""
+        beside = a.withColumn("other", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1))).alias("a")
+        pairs = beside.join(b.alias("b"), F.expr(f"a.comp = b.comp and a.other = b.span and {near('a', 'b')}"))
+        return pairs.select(F.col("a.comp").alias("comp"), F.col("a.span").alias("i"), F.col("a.block").alias("ib"), F.col("b.span").alias("j"), F.col("b.block").alias("jb"), F.struct("a.comp", F.col("a.span").alias("i"), F.col("a.block").alias("ib"), F.col("b.span").alias("j"), F.col("b.block").alias("jb")).alias("turn"))
+
+    def side(of: DataFrame, which: DataFrame, k: str) -> DataFrame:
+        return of.join(which.select("turn", "comp", F.col(k).alias("span"), F.col(k + "b").alias("block")), ["comp", "span", "block"])
+
+    led = save(turns(several, several.where("block = 0")).where("not (i = j and ib = jb)"), "turns")
+    ahead = products(side(members, led, "i"), side(members, led, "j"), "leading-links")
+    groups = components(own.union(ahead)).select(F.col("node").alias("cls"), F.col("comp").alias("label"))
+    spread = save(members.where("span >= 0").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "spread")
+    largest = spread.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("top")).select("comp", F.col("top.label").alias("label"))
+    rest = save(_dealt(spread.join(largest, ["comp", "label"], "left_anti").select("comp", "span", "cls", "n", "weight"), "block"), "rest")
+    tail = rest.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    last = save(turns(tail, several), "turns")
+    return own.union(ahead).union(products(side(rest, last, "i"), side(members, last, "j"), "other-links"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Incidence rows with a class of its own for each set, should two sets share the first half of their 128 bits; ``first`` keeps that half."""
+    rows = rows.withColumn("first", F.col("cls"))
+    shared = rows.where("cls is not null").groupBy("cls").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).where("a <> b").select("cls", F.lit(True).alias("shared"))
+    if not shared.limit(1).count():
+        return rows
+    return save(rows.join(shared, "cls", "left").withColumn("cls", F.expr("if(shared, xxhash64(first, rest), cls)")).drop("shared"), "incidence")
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -224,17 +307,23 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     """
     num, den = percent, 100
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = save(texts.mapInArrow(lambda it: _incidence(it, words, num, den), "doc_id long, n long, cls long, least binary"), "incidence")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    rows = _apart(save(texts.mapInArrow(lambda it: _incidence(it, words, num, den), "doc_id long, n long, cls long, rest long, least binary"), "incidence"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("rest").alias("rest"))
     # One row of each class enters the product: the one with the least id, and of several such rows any, as their sets are equal.
     reps = rows.where("cls is not null and doc_id is not null").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "n", "least")
     # (An id that repeats with equal sets gives a class twice in a column; such pairs of x = y fall out below.)
-    columns = reps.mapInArrow(_columns, "gram long, cls long, n int")
+    schema, grams = "gram long, cls long, n int", reps.agg(F.sum(F.octet_length("least")) / 8).first()[0] or 0
+    sample = reps.mapInArrow(lambda it, take=_in_sample(COLUMN_SAMPLE / max(1, grams)): _columns(it, take), schema)
+    # a column is in this list if more of it is in the sample than makes it long, so the list has COLUMN_SAMPLE / longest columns at most, about
+    seen = np.array(sorted(r["gram"] for r in sample.groupBy("gram").agg(F.countDistinct("cls").alias("n")).where(F.col("n") > longest).select("gram").collect()), np.int64)
+    columns = reps.mapInArrow(lambda it: _columns(it, _known(seen, False)), schema)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = columns.repartition(parts, "gram").sortWithinPartitions("gram", "n", "cls")
     product = dealt.mapInArrow(lambda it: _multiply(it, num, den, longest), "long boolean, x long, y long, nx int, ny int")
     counts = save(product.where("long or x <> y").groupBy("long", "x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c")), "overlaps")
     long = counts.where("long").select(F.col("x").alias("cls"), F.col("y").alias("gram"), F.col("nx").alias("n"))
+    if len(seen):
+        long = long.union(reps.mapInArrow(lambda it: _columns(it, _known(seen, True)), schema).select("cls", "gram", "n").distinct())
     held = long.groupBy("cls").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n"))
 
     def bound(n):
@@ -245,13 +334,13 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     for k in "xy":
         pairs = pairs.join(held.select(F.col("cls").alias(k), F.col("h").alias(f"h{k}")), k, "left").fillna(0, [f"h{k}"])
     pairs = pairs.where(f"c >= least({bound('nx')}, {bound('ny')}) - least(hx, hy)").select("x", "y")
-    reach = classes.select("cls", F.col("rep").alias("doc_id"))
+    reach = classes.select("cls", "first", "rest", F.col("rep").alias("doc_id"))
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
         """(cls, grams) of the classes in wanted, from the text of one row each."""
         wanted = wanted.distinct().join(reach, "cls")
         found = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        return save(found.mapInArrow(lambda it: _sets(it, words), "cls long, grams binary").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), name)
+        return save(found.mapInArrow(lambda it: _sets(it, words), "first long, rest long, grams binary").join(wanted.select("cls", "first", "rest"), ["first", "rest"]).groupBy("cls").agg(F.first("grams").alias("grams")), name)
 
     pairs = save(pairs.distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")), "sets")
