@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,49 +104,94 @@ def _(d):
     return f"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '{g}), '[ ]+', ' '{g})) AS plain FROM pages"
 
 
-def _top(d, share: int = 4) -> str:
-    """Counts by document of the vocabulary: the terms that one document in ``share`` has at least."""
-    vocabulary = f"SELECT term FROM (SELECT DISTINCT doc_id, term FROM {d.tok()} u) w GROUP BY term HAVING count(*) * {share} >= (SELECT count(*) FROM documents)"
-    return f"(SELECT t.doc_id, t.term, count(*) AS n FROM {d.tok()} t JOIN ({vocabulary}) k ON t.term = k.term GROUP BY t.doc_id, t.term)"
-
-
-def _word_cooccurrence_sql(d):
-    return f"""WITH c AS (SELECT * FROM {_top(d)} x), r AS (SELECT a.term AS i, b.term AS j, sum(CASE WHEN a.term = b.term THEN a.n * (a.n - 1) ELSE a.n * b.n END) AS v FROM c a JOIN c b ON a.doc_id = b.doc_id GROUP BY a.term, b.term)
-    SELECT i, j, CAST(v AS BIGINT) AS v, round(v / CAST(nullif(sum(v) OVER (PARTITION BY i), 0) AS DOUBLE), 8) AS p FROM r"""
+#: Pairs of terms that a task holds and sums up at once before they are handed on.
+HELD = 1 << 23
+
+
+def _summed(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """(i, j, v) with equal pairs summed. Pairs become one number each by places among the terms at hand, so that one plain sort orders pairs and counts together."""
+    names, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    bits = max(1, int(len(names) - 1).bit_length())
+    key, room = at[: len(i)].astype(np.uint64) << np.uint64(bits) | at[len(i) :].astype(np.uint64), np.uint64(64 - 2 * bits)
+    small = v < 1 << min(40, 64 - 2 * bits) if bits < 32 else np.zeros(len(v), bool)
+    packed = key[small] << room | v[small].astype(np.uint64)
+    packed.sort()
+    k = packed >> room if len(packed) else packed
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    sums = np.add.reduceat((packed & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64), first) if len(k) else np.empty(0, np.int64)
+    k = k[first]
+    out = names[(k >> np.uint64(bits)).astype(np.int64)], names[(k & ((np.uint64(1) << np.uint64(bits)) - np.uint64(1))).astype(np.int64)], sums
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((x, y[~small]))) for x, y in zip(out, (i, j, v))], ["i", "j", "v"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ids, ns) of one document each -> (i, j, v) for i <= j: the products of the counts, n (n - 1) for a term with itself, summed over as many documents as HELD allows."""
+    held, size = [], 0
+    for batch in batches:
+        for ids, ns in zip(batch.column(0), batch.column(1)):
+            ids, ns = ids.values.to_numpy(), ns.values.to_numpy()
+            order = np.argsort(ids)
+            ids, ns = ids[order], ns[order]
+            rows = max(1, HELD // (2 * len(ids)))  # rows of the document's matrix at a time
+            for a in range(0, len(ids), rows):
+                x, y = np.triu_indices(min(rows, len(ids) - a), 0, len(ids) - a)
+                held.append((ids[a + x], ids[a + y], ns[a + x] * (ns[a + y] - (x == y))))
+                size += len(x)
+                if size >= HELD:
+                    yield _summed(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+    if held:
+        yield _summed(*map(np.concatenate, zip(*held)))
+
+
+def _half(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((i, j, v) for i <= j over all documents, (id, term, total)) of (doc_id, pos, term); i and j are ids of terms, total the ordered pairs of places that hold the term and another place."""
+    counts = save(tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    lengths = counts.groupBy("doc_id").agg(F.sum("n").alias("length"))
+    totals = counts.join(lengths, "doc_id").groupBy("term").agg(F.sum(F.expr("n * (length - 1)")).alias("total"))
+    terms = save(totals.select(F.monotonically_increasing_id().alias("id"), "term", "total"), "terms")
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the documents are few bytes but much work
+    documents = counts.join(terms.select("term", "id"), "term").repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "n")).alias("t")).select(F.col("t.id").alias("ids"), F.col("t.n").alias("ns"))
+    return documents.mapInArrow(_pairs, "i long, j long, v long").groupBy("i", "j").agg(F.sum("v").alias("v")), terms
 
 
-def _anchor_first_sql(d):
-    return f"""WITH c AS (SELECT * FROM {_top(d)} x), r AS (SELECT a.term AS i, b.term AS j, sum(CASE WHEN a.term = b.term THEN a.n * (a.n - 1) ELSE a.n * b.n END) AS v FROM c a JOIN c b ON a.doc_id = b.doc_id GROUP BY a.term, b.term),
-    p AS (SELECT i, v / CAST(nullif(sum(v) OVER (PARTITION BY i), 0) AS DOUBLE) AS p FROM r) SELECT i AS term, round(sqrt(sum(p * p)), 8) AS norm FROM p GROUP BY i ORDER BY norm DESC, term LIMIT 1"""
+def _mirrored(half: DataFrame) -> DataFrame:
+    return half.select(F.explode(F.expr("CASE WHEN i = j THEN array(struct(i, j)) ELSE array(struct(i, j), struct(j AS i, i AS j)) END")).alias("at"), "v").select("at.i", "at.j", "v")
 
 
 def cooccurrence(tokens: DataFrame) -> DataFrame:
     """(i, j, v, p) over all terms of (doc_id, pos, term): v ordered pairs of places in one document that hold i and j, p their share of those of i.
 
-    Counts go into the join by document, one half of the symmetric matrix is summed, before the shuffle as well, and totals by term come from document lengths. p is null for a term
+    A sparse product: each task multiplies out its documents and sums up equal pairs of one half of the symmetric matrix before the shuffle; totals by term come from document lengths. p is null for a term
     that only stands alone.
     """
-    counts = save(tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
-    pairs = counts.select("doc_id", F.col("term").alias("i"), F.col("n").alias("x")).join(counts.select("doc_id", F.col("term").alias("j"), F.col("n").alias("y")), "doc_id").where("i <= j")
-    half = pairs.groupBy("i", "j").agg(F.sum(F.expr("CASE WHEN i = j THEN x * (x - 1) ELSE x * y END")).alias("v"))
-    both = half.select(F.explode(F.expr("CASE WHEN i = j THEN array(struct(i, j)) ELSE array(struct(i, j), struct(j AS i, i AS j)) END")).alias("at"), "v").select("at.i", "at.j", "v")
-    lengths = counts.groupBy("doc_id").agg(F.sum("n").alias("length"))
-    total = counts.join(lengths, "doc_id").groupBy(F.col("term").alias("i")).agg(F.sum(F.expr("n * (length - 1)")).alias("total"))
-    return both.join(total, "i").select("i", "j", "v", F.expr("v / nullif(total, 0)").alias("p"))
+    half, terms = _half(tokens)
+    name = lambda k: terms.select(F.col("id").alias(k), F.col("term").alias(f"{k}_term"))
+    both = _mirrored(half).join(terms.select(F.col("id").alias("i"), F.col("term").alias("i_term"), "total"), "i").join(name("j"), "j")
+    return both.select(F.col("i_term").alias("i"), F.col("j_term").alias("j"), "v", F.expr("v / nullif(total, 0)").alias("p"))
+
+
+def cooccurrence_rows(tokens: DataFrame) -> DataFrame:
+    """A row for each term, summed over its whole row of cooccurrence: (term, partners, total, norm): terms it stands with, pairs of places, and the length of the row of shares p; null where total is 0."""
+    half, terms = _half(tokens)
+    rows = _mirrored(half).groupBy("i").agg(F.sum(F.when(F.col("v") > 0, 1).otherwise(0)).alias("partners"), F.sum(F.col("v").cast("double") * F.col("v")).alias("squares"))
+    return rows.join(terms, rows["i"] == terms["id"]).select("term", "partners", "total", F.expr("sqrt(squares) / nullif(total, 0)").alias("norm"))
 
 
-# The SQL of these two still keeps the frequent terms of _top only; the queries take the whole vocabulary, so the results differ.
+_ROWS_SQL = f"""WITH c AS (SELECT doc_id, term, count(*) AS n FROM {DUCK.tok()} t GROUP BY ALL),
+r AS (SELECT a.term AS i, b.term AS j, sum(CASE WHEN a.term = b.term THEN a.n * (a.n - 1) ELSE a.n * b.n END)::BIGINT AS v FROM c a JOIN c b ON a.doc_id = b.doc_id GROUP BY ALL),
+p AS (SELECT i AS term, count(*) FILTER (v > 0) AS partners, sum(v)::BIGINT AS total, round(sqrt(sum(v::DOUBLE * v)) / nullif(sum(v), 0)::DOUBLE, 8) AS norm FROM r GROUP BY i)"""
 
 
-@CATALOG.query("word_cooccurrence", _word_cooccurrence_sql(DUCK))
+@CATALOG.query("word_cooccurrence", f"{_ROWS_SQL} SELECT * FROM p")
 def _word_cooccurrence(spark, sf_dir):
-    return cooccurrence(tokens(spark, sf_dir)).withColumn("p", F.round("p", 8))
+    """The rows' sums over the whole matrix, which itself has a row for each pair of terms (60 million on sf0.01): cooccurrence returns it."""
+    return cooccurrence_rows(tokens(spark, sf_dir)).withColumn("norm", F.round("norm", 8))
 
 
-@CATALOG.query("anchor_first", _anchor_first_sql(DUCK))
+@CATALOG.query("anchor_first", f"{_ROWS_SQL} SELECT term, norm FROM p ORDER BY norm DESC NULLS LAST, term LIMIT 1")
 def _anchor_first(spark, sf_dir):
-    norms = cooccurrence(tokens(spark, sf_dir)).groupBy(F.col("i").alias("term")).agg(F.round(F.sqrt(F.sum(F.col("p") * F.col("p"))), 8).alias("norm"))
-    return norms.orderBy(F.desc_nulls_last("norm"), "term").limit(1)
+    return cooccurrence_rows(tokens(spark, sf_dir)).select("term", F.round("norm", 8).alias("norm")).orderBy(F.desc_nulls_last("norm"), "term").limit(1)
 
 
 @q("pair_cooccurrence")
