@@ -68,11 +68,13 @@ class EliasFano:
         return (place - i) << self.low_bits | self._low(i)
 
     def all(self) -> np.ndarray:
+        """All values, as uint64."""
         if not self.n:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.uint64)
         places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
         low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (places - np.arange(self.n) << self.low_bits) + (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        return high + (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
     def dump(self) -> bytes:
         return struct.pack("<IBII", self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high + self.samples.astype("<u4").tobytes()
@@ -150,7 +152,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int, id_col: str = "
     width = 2 if max(encoder(path).whole.get_vocab_size(), end + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the start of the text goes with the id, so that null ids, or one id of many rows, are cut up too
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda it: _write(it, path, end, width), "worker int, number int, before long, n_ids long, segment binary").write.option("compression", "none").parquet(out)
 
 

@@ -11,7 +11,7 @@ A column with more than ``longest`` classes isn't multiplied. A class counts how
 bound is lowered by the smaller count, and as long as that count is below p - m, no link of the class can be lost. Classes with more are
 *crowded*; those that share a long column and are near in size form clusters, and each cluster goes through a second product over
 all its shingles, in blocks of bounded size. First each block meets itself and the leading blocks of like sizes; what isn't in the cluster's largest group after that
-meets all blocks of like sizes, so a large group of near copies costs about as many products as it has blocks, and pairs inside the group need none. A product
+meets all other blocks of like sizes, so a large group of near copies costs about as many products as it has blocks, and pairs inside the group need none. A product
 hands on the links that join its classes, not all of them, and no two different texts that are linked are left apart.
 
 Columns that a sample of the incidence matrix proves to be long are never gathered: their rows go to the second product from where they are.
@@ -237,10 +237,10 @@ def _dealt(members: DataFrame, name: str) -> DataFrame:
 def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     """(cls, gram, n) of crowded classes -> links among them.
 
-    Linked classes stand in one long column at least, and their sizes are in the same span or in spans side by side, where a span reaches over more than linked sizes can differ. A class is tied to
+    Linked classes stand in one long column at least, and their sizes are in the same span or in spans side by side, as a span reaches as far as linked sizes can differ. A class is tied to
     its column's span and the next, so links never leave a cluster of tied classes.
     """
-    span = F.floor(F.log("n") / max(0.05, 4 * float(np.log(den / num)))).cast("long")
+    span = F.floor(F.log("n") / max(0.02, 1.000001 * float(np.log(den / num)))).cast("long")
     ties = long.select("cls", "gram", F.explode(F.array(span, span + 1)).alias("span")).select(F.col("cls").alias("x"), F.xxhash64("gram", "span").alias("y"))
     clusters = components(ties)
     sizes = long.groupBy("cls").agg(F.first("n").alias("n"))
@@ -277,14 +277,14 @@ def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     def side(of: DataFrame, which: DataFrame, k: str) -> DataFrame:
         return of.join(which.select("turn", "comp", F.col(k).alias("span"), F.col(k + "b").alias("block")), ["comp", "span", "block"])
 
-    led = save(turns(several, several.where("block = 0")).where("not (i = j and ib = jb)"), "turns")
+    led = save(turns(several, several.where("block = 0")).where("not (i >= j and ib = jb)"), "turns")  # of two leading blocks, the pair counts once
     ahead = products(side(members, led, "i"), side(members, led, "j"), "leading-links")
     groups = components(own.union(ahead)).select(F.col("node").alias("cls"), F.col("comp").alias("label"))
     spread = save(members.where("span >= 0").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "spread")
     largest = spread.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("top")).select("comp", F.col("top.label").alias("label"))
     rest = save(_dealt(spread.join(largest, ["comp", "label"], "left_anti").select("comp", "span", "cls", "n", "weight"), "block"), "rest")
     tail = rest.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    last = save(turns(tail, several), "turns")
+    last = save(turns(tail, several.where("block > 0")), "turns")  # leading blocks have met all
     return own.union(ahead).union(products(side(rest, last, "i"), side(members, last, "j"), "other-links"))
 
 

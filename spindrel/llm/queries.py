@@ -90,12 +90,14 @@ def op3_merkle_fingerprints(spark, sf_dir):
 
 @CATALOG.query("op10_edit_aware_counts")
 def op10_edit_aware_counts(spark, sf_dir):
-    """Counts before and after three edits: 20 code points go at a third, a phrase comes in at half, the first 50 are added at the end."""
-    from spindrel.llm.token_counts import count_tokens
+    """Counts before and after three edits: 20 code points go at a third, a phrase comes in at half, the first 50 are added at the end. The trees are kept as a table in between."""
+    from spindrel.llm.scratch import save
+    from spindrel.llm.token_counts import build_trees, edit_trees
 
     edits = F.expr("""array(named_struct('at', length(text) div 3, 'cut', 20, 'put', ''), named_struct('at', length(text) div 2, 'cut', 0, 'put', 'an inserted phrase, of 42 marks'),
         named_struct('at', length(text) + 100, 'cut', 0, 'put', substring(text, 1, 50)))""")
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), ["doc_id"])
+    trees = save(build_trees(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), ["doc_id", "edits"]), "trees")
+    return edit_trees(trees, ["doc_id", "n_tokens"]).drop("tree")
 
 
 @CATALOG.query("op6_qgram_decontamination")

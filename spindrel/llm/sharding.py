@@ -53,3 +53,17 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes:
     shard = F.expr(f"case when __at < {cut}L then __at div {q + 1}L else {r}L + (__at - {cut}L) div {max(q, 1)}L end").cast("int")
     slot = F.expr(f"case when __at < {cut}L then __at % {q + 1}L else (__at - {cut}L) % {max(q, 1)}L end").cast("long")
     return at.select(*[F.col(f"`{c}`") for c in names], shard.alias("shard"), slot.alias("slot"))
+
+
+def write_shards(df: DataFrame, out: str, shards: int = 16, **how) -> None:
+    """Writes the rows of df, shuffled as by shuffle_shards (``how`` goes there), to the folder ``out``: a folder ``shard=K`` for each shard, its files in the order of their slots.
+
+    A task writes one bucket, which is a run of slots of one shard or of shards side by side, so nothing is shuffled again. Spark's writer commits the files of a task as a whole, so a lost
+    executor leaves none twice. An empty df writes no shard.
+    """
+    shuffle_shards(df, shards, **how).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+
+
+def read_shard(spark, out: str, shard: int) -> DataFrame:
+    """The rows of one shard, with their slots; ordered by slot they are as they were dealt."""
+    return spark.read.parquet(f"{out.rstrip('/')}/shard={shard}")

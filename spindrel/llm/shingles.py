@@ -140,7 +140,8 @@ def slices(batch, name: str = "text", limit: int = 8 << 20):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    column = batch.column(batch.schema.get_field_index(name))
+    sizes = pc.fill_null(pc.binary_length(column if pa.types.is_binary(column.type) else column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, s in enumerate(sizes.tolist()):
         if i > at and total + s > limit:

@@ -3,12 +3,15 @@
 A leaf is a run of about LEAF characters that ends with white space, where the tokenizer never joins pieces; its count is the ids of its text.
 Inner nodes hold the characters and ids below them. An edit takes the leaves it touches, and those after them as long as the text so far
 doesn't end with white space, encodes that region afresh and updates the sums on the way up. What the edit doesn't touch isn't encoded again.
+Trees are kept as a column of bytes, so the edits of a later job start from them and encode no text as a whole.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,23 @@ class CountTree:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def dump(self) -> bytes:
+        """How many leaves, the code points and ids of each, and the text."""
+        leaves = [(t, n) for t, n in zip(self.texts, self.tokens[self.width :]) if t]
+        return struct.pack("<I", len(leaves)) + np.array([(len(t), n) for t, n in leaves], "<u4").tobytes() + self.text().encode("utf-8", "surrogatepass")
+
+    @classmethod
+    def load(cls, raw: bytes, count) -> "CountTree":
+        """The tree of dump, without any encoding."""
+        (n,) = struct.unpack_from("<I", raw)
+        text, at, leaves = raw[4 + 8 * n :].decode("utf-8", "surrogatepass"), 0, []
+        for chars, tokens in np.frombuffer(raw, "<u4", 2 * n, 4).reshape(n, 2).tolist():
+            leaves.append((text[at : at + chars], tokens))
+            at += chars
+        tree = cls("", count)
+        tree._build(leaves)
+        return tree
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -106,31 +126,63 @@ class CountTree:
                 self._sum(k)
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, extra: int) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], path: str, extra: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).text
     for whole in batches:
         for batch in slices(whole):
-            rows = []
-            for text, edits in zip(batch.column(extra).to_pylist(), batch.column(extra + 1).to_pylist()):
-                tree = CountTree(text or "", lambda t: len(encode(t)) // 4)
-                first, n = tree.encoded, tree.total
+            trees = [CountTree(t or "", lambda t: len(encode(t)) // 4) for t in batch.column(extra).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], pa.array([t.total for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())], [*batch.schema.names[:extra], "n_tokens", "tree"])
+
+
+def _edit(batches: Iterator[pa.RecordBatch], path: str, extra: int) -> Iterator[pa.RecordBatch]:
+    encode = encoder(path).text
+    for whole in batches:
+        for batch in slices(whole, "tree"):
+            rows, trees = [], []
+            for raw, edits in zip(batch.column(extra).to_pylist(), batch.column(extra + 1).to_pylist()):
+                count = lambda t: len(encode(t)) // 4
+                tree = CountTree.load(raw, count) if raw is not None else CountTree("", count)
                 for e in edits or []:
                     if e is not None:
                         tree.edit(e["at"] or 0, e["cut"] or 0, e["put"] or "")
-                rows.append((n, tree.total, len(tree), tree.encoded - first))
-            kinds = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], *kinds], [*batch.schema.names[:extra], "n_tokens", "edited_tokens", "edited_chars", "encoded_again"])
+                rows.append((tree.total, len(tree), tree.encoded))
+                trees.append(tree.dump())
+            kinds = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], *kinds, pa.array(trees, pa.binary())], [*batch.schema.names[:extra], "edited_tokens", "edited_chars", "encoded_again", "tree"])
 
 
-def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """Token counts of whole texts before and after their edits.
+def _schema(rows: DataFrame, keep: list[str], more: str) -> str:
+    return "".join(f"`{c}` {f.dataType.simpleString()}, " for c, f in zip(keep, rows.schema.fields)) + more
+
+
+def build_trees(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of docs with n_tokens, the ids of the whole text, and tree, its count tree as bytes, to be written and edited later.
+
+    A null text is empty. Repeated rows are rows like others; an empty docs gives no rows.
+    """
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string"))
+    path, names = path or default_path(), [f"c{i}" for i in range(len(keep))] + ["text"]
+    return rows.toDF(*names).mapInArrow(lambda it: _build(it, path, len(keep)), _schema(rows, keep, "n_tokens long, tree binary"))
+
+
+def edit_trees(trees: DataFrame, keep: list[str], path: str | None = None, tree_col: str = "tree", edits_col: str = "edits") -> DataFrame:
+    """Count trees after a batch of edits: the columns ``keep`` with edited_tokens, edited_chars, encoded_again (characters that the edits made it encode) and tree, as it is now.
 
     ``edits`` is an array of (at, cut, put) structs, applied in order; places are code points of the text as it is then, clipped to it. Null edits, and nulls
-    in one, do nothing; a null text is empty. Returns the columns ``keep`` with n_tokens, edited_tokens, edited_chars and encoded_again, the characters
-    that the edits made it encode. Repeated rows are rows like others; an empty docs gives no rows.
+    in one, do nothing; a null tree is that of an empty text.
     """
     edits = F.expr(f"transform(`{edits_col}`, e -> named_struct('at', cast(e.at as long), 'cut', cast(e.cut as long), 'put', cast(e.put as string)))")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("text"), edits.alias("__edits"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", n_tokens long, edited_tokens long, edited_chars long, encoded_again long"
-    path, names = path or default_path(), [f"c{i}" for i in range(len(keep))] + ["text", "edits"]
-    return rows.toDF(*names).mapInArrow(lambda it: _count(it, path, len(keep)), schema)
+    rows = trees.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{tree_col}`"), edits.alias("__edits"))
+    path, names = path or default_path(), [f"c{i}" for i in range(len(keep))] + ["tree", "edits"]
+    return rows.toDF(*names).mapInArrow(lambda it: _edit(it, path, len(keep)), _schema(rows, keep, "edited_tokens long, edited_chars long, encoded_again long, tree binary"))
+
+
+def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """Token counts of whole texts before and after their edits: build_trees and edit_trees in one pass, for trees that nobody keeps.
+
+    Returns the columns ``keep`` with n_tokens, edited_tokens, edited_chars and encoded_again; nulls, repeats and empty tables are as there.
+    """
+    plain = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, plain)], F.col(f"`{edits_col}`").alias("edits"), F.col(f"`{text_col}`").alias("text"))
+    out = edit_trees(build_trees(rows, [*plain, "edits"], path), [*plain, "n_tokens"], path).drop("tree")
+    return out.toDF(*keep, "n_tokens", "edited_tokens", "edited_chars", "encoded_again")
