@@ -14,11 +14,11 @@ def _state(edges: DataFrame) -> tuple:
 
 
 #: A node counts as a hub from this many links on, or from one of HUBS of all rows on where that is more; so there are no more than HUBS hubs, which reach all tasks.
-HUB, HUBS = 1000, 1000
+HUB, HUBS = 4096, 1000
 
 
 def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
-    """Each node hands its larger (large) or its smaller neighbours and itself to the least node that it knows. ``rows`` is the number of edges.
+    """Each node hands its larger (large) or its smaller neighbours and itself to the least node that it knows. ``rows`` is no fewer than the edges.
 
     The links of a hub stay where they are and meet the hub's least node, which is broadcast; all others are joined by node.
     """
@@ -26,11 +26,14 @@ def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     if not large:
         both = both.where("v < u")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    least = save(least, "least")
     most = max(HUB, -(-2 * rows // HUBS))
-    hubs = F.broadcast(least.where(F.col("n") >= most).select("u", F.col("m").alias("hub")))
-    marked = (both.where("v > u") if large else both).join(hubs, "u", "left")
-    moved = marked.where("hub is not null").select("v", F.col("hub").alias("m")).union(marked.where("hub is null").join(least.where(F.col("n") < most).select("u", "m"), "u").select("v", "m"))
+    hubs = [(r["u"], r["m"]) for r in least.where(F.col("n") >= most).collect()] if 2 * rows >= most else []  # HUBS rows at most
+    each = both.where("v > u") if large else both
+    moved = each.join(least.select("u", "m"), "u") if not hubs else None
+    if hubs:
+        marked = each.join(F.broadcast(edges.sparkSession.createDataFrame(hubs, "u long, hub long")), "u", "left")
+        others = marked.where("hub is null").join(least.where(F.col("n") < most).select("u", "m"), "u")
+        moved = marked.where("hub is not null").select("v", F.col("hub").alias("m")).union(others.select("v", "m"))
     out = moved.select(F.col("v").alias("y"), F.col("m").alias("x"))
     if not large:
         out = out.union(least.select(F.col("u"), F.col("m")))
@@ -48,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while before[0]:
         larger = save(_star(now, before[0], True), "edges")
-        now = save(_star(larger, larger.count(), False), "edges")
+        now = save(_star(larger, before[0], False), "edges")
         after = _state(now)
         if after == before:
             break

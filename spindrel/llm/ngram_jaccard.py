@@ -165,17 +165,18 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = [], []
-        for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            both = np.concatenate((s, t))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            if common * den >= (len(both) - common) * num:
-                x.append(a)
-                y.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            batch, x, y = whole.slice(at, 256), [], []
+            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = np.concatenate((s, t))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if common * den >= (len(both) - common) * num:
+                    x.append(a)
+                    y.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
 
 def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
@@ -228,26 +229,39 @@ def _product(table: pa.Table, num: int, den: int) -> pa.Table:
 BLOCK, LEAST = 1 << 17, 1 << 8
 
 
+#: Rows of three numbers that are sent to all tasks at most; of more, the table is joined by key.
+MOST_SENT = 1 << 18
+
+
+def _sent(few: DataFrame, name: str) -> DataFrame:
+    few = save(few, name)
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
 def _dealt(members: DataFrame, name: str) -> DataFrame:
     """(comp, span, cls, weight) with the column ``name``: the block of each, of about BLOCK shingles, by a hash of the class."""
-    room = members.groupBy("comp", "span").agg(F.ceil(F.sum("weight") * 4 / (3 * BLOCK)).cast("long").alias("room"))
-    return members.join(room, ["comp", "span"]).withColumn(name, F.expr("pmod(xxhash64(cls), room)")).drop("room")
+    room = members.groupBy("comp", "span").agg(F.ceil(F.sum("weight") * 4 / (3 * BLOCK)).cast("long").alias("room")).where("room > 1")
+    return members.join(_sent(room, "rooms"), ["comp", "span"], "left").withColumn(name, F.expr("pmod(xxhash64(cls), coalesce(room, 1))")).drop("room")
 
 
-def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+def _within_clusters(long: DataFrame, sets_of, num: int, den: int, bound) -> DataFrame:
     """(cls, gram, n) of crowded classes -> links among them.
 
-    Linked classes stand in one long column at least, and their sizes are in the same span or in spans side by side, as a span reaches as far as linked sizes can differ. A class is tied to
-    its column's span and the next, so links never leave a cluster of tied classes.
+    Linked classes that no short column shows have all columns that they must share, bound of the smaller's size, among their long ones. So if each class leaves out one less than that of its
+    long columns, the last in order, they still have one in common. Their sizes are in the same span or in spans side by side, as a span reaches as far as linked sizes can differ. A class is tied to
+    its columns' spans and these to the next, so links never leave a cluster of tied classes.
     """
     span = F.floor(F.log("n") / max(0.02, 1.000001 * float(np.log(den / num)))).cast("long")
-    ties = long.select("cls", "gram", F.explode(F.array(span, span + 1)).alias("span")).select(F.col("cls").alias("x"), F.xxhash64("gram", "span").alias("y"))
-    clusters = components(ties)
+    each = long.groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("gram")).alias("grams"))
+    some = F.greatest(F.lit(1), F.size("grams") - F.expr(bound(f"(({num} * n + {den - 1}) div {den})")).cast("int") + 1)
+    tied = save(each.select("cls", span.alias("span"), F.explode(F.slice("grams", F.lit(1), some)).alias("gram")), "tied")
+    beside = tied.select("gram", "span").distinct().select(F.xxhash64("gram", "span").alias("x"), F.xxhash64("gram", F.col("span") + 1).alias("y"))
+    clusters = components(tied.select(F.col("cls").alias("x"), F.xxhash64("gram", "span").alias("y")).union(beside))
     sizes = long.groupBy("cls").agg(F.first("n").alias("n"))
     members = save(clusters.withColumnRenamed("node", "cls").join(sizes, "cls").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "clusters")
     # a cluster that fits a block is one; others are dealt span by span
-    whole = members.groupBy("comp").agg(F.sum("weight").alias("all")).where(F.col("all") <= BLOCK).select("comp", F.lit(-1).cast("long").alias("one"))
-    members = members.join(whole, "comp", "left").withColumn("span", F.coalesce("one", span)).drop("one")
+    large = members.groupBy("comp").agg(F.sum("weight").alias("all")).where(F.col("all") > BLOCK).select("comp", F.lit(True).alias("large"))
+    members = members.join(_sent(large, "large-clusters"), "comp", "left").withColumn("span", F.when(F.col("large"), span).otherwise(-1)).drop("large")
     members = save(_dealt(members, "block"), "members")
     blocks = members.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     sets = sets_of(members.select("cls"), "crowded-sets")
@@ -282,7 +296,7 @@ def _within_clusters(long: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     groups = components(own.union(ahead)).select(F.col("node").alias("cls"), F.col("comp").alias("label"))
     spread = save(members.where("span >= 0").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "spread")
     largest = spread.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("top")).select("comp", F.col("top.label").alias("label"))
-    rest = save(_dealt(spread.join(largest, ["comp", "label"], "left_anti").select("comp", "span", "cls", "n", "weight"), "block"), "rest")
+    rest = save(_dealt(spread.join(_sent(largest, "largest-groups"), ["comp", "label"], "left_anti").select("comp", "span", "cls", "n", "weight"), "block"), "rest")
     tail = rest.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     last = save(turns(tail, several.where("block > 0")), "turns")  # leading blocks have met all
     return own.union(ahead).union(products(side(rest, last, "i"), side(members, last, "j"), "other-links"))
@@ -349,7 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     crowded = held.where(f"h >= {bound(f'(({num} * n + {den - 1}) div {den})')}").select("cls", "n")
     long = save(long.join(crowded.select("cls"), "cls", "left_semi"), "long")
     if long.limit(1).count():
-        links = links.union(_within_clusters(long, sets_of, num, den))
+        links = links.union(_within_clusters(long, sets_of, num, den, bound))
     comps = components(links)
     ids = classes.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     label = ids.join(ids.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
