@@ -144,12 +144,16 @@ class RPForest:
         return rows.select("id", "tree", "path")
 
     def knn(self, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-        """(q, id, dist, rank) among the points that share a leaf with the query in any tree."""
+        """(q, id, dist, rank) among the points that share a leaf with the query in any tree; metric: euclidean, cosine or abs_cosine (null distances, of zero vectors, come last)."""
         there = self.leaves.withColumnRenamed("id", "p").join(self.route(queries).withColumnRenamed("id", "q"), ["tree", "path"]).select("q", "p").distinct()
         pairs = there.join(queries.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(self.points.select(F.col("id").alias("p"), F.col("v").alias("pv")), "p")
-        dist = F.sqrt(F.aggregate(F.zip_with("qv", "pv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-        ranked = pairs.where("q <> p").select("q", F.col("p").alias("id"), dist.alias("dist"))
-        return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("rank") <= k)
+        total = lambda a, b, f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
+        cosine = total("qv", "pv", lambda x, y: x * y) / F.nullif(F.sqrt(total("qv", "qv", lambda x, y: x * y) * total("pv", "pv", lambda x, y: x * y)), F.lit(0.0))
+        known = {"euclidean": F.sqrt(total("qv", "pv", lambda x, y: (x - y) * (x - y))), "cosine": 1 - cosine, "abs_cosine": 1 - F.abs(cosine)}
+        if metric not in known:
+            raise ValueError(f"unknown metric {metric}")
+        ranked = pairs.where("q <> p").select("q", F.col("p").alias("id"), known[metric].alias("dist"))
+        return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.asc_nulls_last("dist"), "id"))).where(F.col("rank") <= k)
 
 
 def vectors(spark, sf_dir) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset a local master, as in tests, takes a local folder; a cluster has no folder that all its machines see, so that is an error."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a shared folder")
     return shared or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 

@@ -131,3 +131,23 @@ def test_entry_has_no_query_without_its_table_of_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
+
+
+def test_forest_neighbours_follow_the_metric(spark):
+    import numpy as np
+
+    from spindrel.operators.neighbors import RPForest
+
+    r = np.random.default_rng(3)
+    v = r.standard_normal((60, 4)) * r.uniform(0.2, 5, (60, 1))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    forest = RPForest(trees=1, leaf_size=60).fit(points)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    plain = {"euclidean": np.linalg.norm(v[:, None] - v, axis=2), "cosine": 1 - unit @ unit.T, "abs_cosine": 1 - np.abs(unit @ unit.T)}
+    for metric, d in plain.items():
+        d = d.copy()
+        np.fill_diagonal(d, np.inf)
+        got = {(x.q, x["rank"]): x.id for x in forest.knn(points, 3, metric).collect()}
+        assert got == {(q, k + 1): int(p) for q in range(60) for k, p in enumerate(np.argsort(d[q])[:3])}
+    with pytest.raises(ValueError):
+        forest.knn(points, 3, "taxi")
