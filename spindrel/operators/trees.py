@@ -5,8 +5,10 @@ A tree is a table of leaves (id, path): 'L' and 'R' from the root. Ancestors are
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrel.operators.neighbors import knn, knn_edges, vectors
@@ -50,9 +52,13 @@ def integrity(nodes: DataFrame) -> DataFrame:
 
 
 def _fiedler(w: np.ndarray) -> np.ndarray:
-    """Second eigenvector of the Laplacian, its sign fixed: the largest entry is not smaller than the smallest one's size."""
-    lap = np.diag(w.sum(1)) - w
-    v = np.linalg.eigh(lap)[1][:, 1]
+    """Second eigenvector of the Laplacian, its sign fixed: the largest entry is not smaller than the smallest one's size.
+
+    The constant vector is moved above all other eigenvalues, so that what comes first has mean 0 even where weights are tiny.
+    """
+    degree = w.sum(1)
+    lap = np.diag(degree) - w + (2 * degree.max() + 1) / len(w)
+    v = np.linalg.eigh(lap)[1][:, 0]
     return v if v.max() > -v.min() or (np.isclose(v.max(), -v.min()) and v[0] >= 0) else -v
 
 
@@ -81,54 +87,147 @@ def _halves(w: np.ndarray) -> np.ndarray:
         return np.array([0, 1])
     side = (_fiedler(w) >= 0).astype(int)
     if side.min() == side.max():
-        side[:] = 0
-        side[len(side) // 2 :] = 1
+        raise ValueError("the Fiedler vector of a connected node has one sign only")
     return side
 
 
+def _sides(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(size, first, m) for a node's components, given (size, how many): from the largest size down each goes to the smaller side, 0 if they are equal.
+
+    Of the components of one size the first m go to side ``first`` and the rest alternate, the other side before it; so only the numbers of each size are needed, not the components.
+    """
+    out, lead = [], 0
+    for size, many in sorted(sizes, reverse=True):
+        first = int(lead > 0)
+        m = min(many, -(-lead // size) if first else -lead // size + 1)
+        other = (many - m + 1) // 2
+        lead += size * ((m + many - m - other - other) * (-1 if first else 1))
+        out.append((size, first, m))
+    return out
+
+
 class HierClust:
     """Spectral clustering from the top down: kNN graph, RBF similarity, Fiedler bisection, again on both halves.
 
-    ``n_neighbors`` counts the point itself; sigma 'auto' is the lower median of the node's positive distances scaled so that this distance has similarity ``alpha``. Levels are split
-    together: nodes of up to ``dense`` rows in one grouped pass, larger ones by power iterations of the shifted Laplacian as joins over the edges.
+    ``n_neighbors`` counts the point itself; sigma 'auto' is the lower median of the node's positive distances scaled so that this distance has similarity ``alpha``. Every node goes by
+    the same rule: with several components each goes to the smaller side, the largest first; one component is cut by the signs of its Fiedler vector. Nodes of up to ``dense`` rows are
+    finished in one grouped pass; larger ones, all of a level together, find components by joins and the vector by Lanczos steps, until the residual is below ``tol`` of the spectrum's bound.
+    Their median of distances is approximate (1 in 10,000 ranks). A node still above ``dense`` after ``max_depth`` levels is an error.
     """
 
-    def __init__(self, n_neighbors: int = 20, mutual: bool = False, sigma: float | str = "auto", alpha: float = 0.8, leaf_size: int = 1, dense: int = 2000, max_depth: int = 60) -> None:
-        self.n_neighbors, self.mutual, self.sigma, self.alpha, self.leaf_size, self.dense, self.max_depth = n_neighbors, mutual, sigma, alpha, leaf_size, dense, max_depth
+    def __init__(self, n_neighbors: int = 20, mutual: bool = False, sigma: float | str = "auto", alpha: float = 0.8, leaf_size: int = 1, dense: int = 2000, max_depth: int = 200, tol: float = 1e-6) -> None:
+        self.n_neighbors, self.mutual, self.sigma, self.alpha, self.leaf_size, self.dense, self.max_depth, self.tol = n_neighbors, mutual, sigma, alpha, leaf_size, dense, max_depth, tol
 
     def fit(self, points: DataFrame) -> DataFrame:
         """(id, path) of the leaf of each point; points: (id long, v array<double>)."""
         edges = save(knn_edges(knn(points, points, self.n_neighbors - 1), self.mutual), "knn-edges")
         rows, done = points.select("id").withColumn("path", F.lit("")), []
-        for _ in range(self.max_depth):
+        for depth in range(self.max_depth + 1):
             sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-            big = [r["path"] for r in sizes.where(F.col("n") > self.dense).limit(1000).collect()]
-            if not big:
+            tagged = save(rows.join(sizes, "path"), "nodes")
+            done.append(tagged.where(F.col("n") <= self.dense).select("id", "path"))
+            rows = tagged.where(F.col("n") > self.dense).select("id", "path")
+            if not rows.limit(1).count():
                 break
-            done.append(rows.where(~F.col("path").isin(big)))
-            rows = save(self._split_large(rows.where(F.col("path").isin(big)), edges), "halves")
-        done.append(rows)
-        rows = done[0]
+            if depth == self.max_depth:
+                raise ValueError(f"a node has more than {self.dense} rows after {depth} levels")
+            rows = self._split_large(rows, edges)
+        out = done[0]
         for d in done[1:]:
-            rows = rows.unionByName(d)
-        return self._finish(save(rows, "nodes"), edges)
+            out = out.unionByName(d)
+        return self._finish(save(out, "nodes"), edges)
 
-    def _split_large(self, rows: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-        """Signs of the second eigenvector of (2 D - L) by power iteration with the constant vector taken out; all open nodes at once."""
+    def _split_large(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """(id, path) one level down, of all rows."""
         inside = edges.join(rows.select(F.col("id").alias("src"), "path"), "src").join(rows.select(F.col("id").alias("dst"), F.col("path").alias("p2")), "dst").where("path = p2")
-        scale = inside.groupBy("path").agg(F.expr("percentile_approx(case when dist > 0 then dist end, 0.5)").alias("m")).select("path", (F.coalesce("m", F.lit(1.0)) * float(np.sqrt(1 / (2 * np.log(1 / self.alpha))))).alias("s"))
-        w = inside.join(scale, "path").select("src", "dst", "path", F.exp(-F.col("dist") * F.col("dist") / (2 * F.col("s") * F.col("s"))).alias("w"))
+        if self.sigma == "auto":
+            scale = inside.groupBy("path").agg(F.expr("percentile_approx(case when dist > 0 then dist end, 0.5)").alias("m")).select("path", (F.coalesce("m", F.lit(1.0)) * float(np.sqrt(1 / (2 * np.log(1 / self.alpha))))).alias("s"))
+        else:
+            scale = rows.select("path").distinct().withColumn("s", F.lit(float(self.sigma)))
+        w = inside.join(scale, "path").select("src", "dst", "path", F.exp(-F.col("dist") * F.col("dist") / (2 * F.col("s") * F.col("s"))).alias("w")).where("w > 0 and src <> dst")
         w = save(w.unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "path", "w")), "weights")
+        comp = components(w.where("src < dst").select(F.col("src").alias("x"), F.col("dst").alias("y")), rows.select(F.col("id").alias("node")))
+        comp = save(rows.join(comp, F.col("id") == F.col("node")).select("id", "path", "comp"), "parts")
+        sizes = save(comp.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("size")), "part-sizes")
+        kinds = sizes.groupBy("path", "size").agg(F.count(F.lit(1)).alias("many"))
+
+        def place(df):
+            import pandas as pd
+
+            return pd.DataFrame([(df["path"].iloc[0], *x) for x in _sides([(int(a), int(b)) for a, b in zip(df["size"], df["many"])])], columns=["path", "size", "first", "m"])
+
+        several = sizes.groupBy("path").agg((F.count(F.lit(1)) > 1).alias("several"))
+        rank = F.row_number().over(Window.partitionBy("path", "size").orderBy("comp")) - 1
+        sided = sizes.withColumn("r", rank).join(kinds.groupBy("path").applyInPandas(place, "path string, size long, first int, m long"), ["path", "size"])
+        sided = sided.join(several, "path").where("several").select("comp", F.expr("case when r < m or (r - m) % 2 = 1 then first else 1 - first end").alias("side"))
+        by_parts = comp.join(sided, "comp").select("id", F.concat("path", F.when(F.col("side") == 0, "L").otherwise("R")).alias("path"))
+        whole = save(comp.join(several.where("not several"), "path").select("id", "path"), "connected")
+        out = by_parts
+        if whole.limit(1).count():
+            x = self._second_vector(whole, w.join(several.where("not several"), "path").select("src", "dst", "w"))
+            ends = x.groupBy("path").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("not (a < 0 and b >= 0)")
+            if ends.limit(1).count():
+                raise ValueError("the Fiedler vector of a connected node has one sign only")
+            out = out.unionByName(x.select("id", F.concat("path", F.when(F.col("x") >= 0, "R").otherwise("L")).alias("path")))
+        return save(out, "halves")
+
+    def _second_vector(self, rows: DataFrame, w: DataFrame, steps: int = 12, restarts: int = 40) -> DataFrame:
+        """(id, path, x): the Fiedler vector of every connected node, by Lanczos steps from a start hashed from the id, begun again from the best vector of their span.
+
+        A step is one join over the edges and one grouped sum of at most ``steps`` numbers a node. It stops when all residuals are below tol * twice the greatest degree.
+        """
+        n = F.col("n")
         degree = w.groupBy("src").agg(F.sum("w").alias("deg"))
-        top = w.groupBy("path", "src").agg(F.sum("w").alias("deg")).groupBy("path").agg(F.max("deg").alias("most"))
-        state = rows.join(degree, rows["id"] == degree["src"], "left").select("id", "path", F.coalesce("deg", F.lit(0.0)).alias("deg")).withColumn("x", F.rand(1) - 0.5)
-        state = save(state, "state")
-        for _ in range(rounds):
-            pull = w.join(state.select(F.col("id").alias("dst"), "x"), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("x")).alias("pull"))
-            moved = state.join(pull, state["id"] == pull["src"], "left").join(top, "path", "left").select("id", "path", "deg", ((2 * F.coalesce("most", F.lit(1.0)) - F.col("deg")) * F.col("x") + F.coalesce("pull", F.lit(0.0))).alias("x"))
-            norm = moved.groupBy("path").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(1e-300)).alias("s"))
-            state = save(moved.join(norm, "path").select("id", "path", "deg", ((F.col("x") - F.col("m")) / F.col("s")).alias("x")), "state")
-        return state.select("id", F.concat("path", F.when(F.col("x") >= 0, "R").otherwise("L")).alias("path"))
+        base = rows.join(degree, F.col("id") == F.col("src")).select("id", "path", "deg")
+        bound = save(base.groupBy("path").agg((2 * F.max("deg")).alias("most"), F.count(F.lit(1)).alias("n")), "bounds")
+        state = base.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5)
+
+        def unit(df: DataFrame) -> DataFrame:
+            """x with mean 0 and length 1 in each node; 0 where only rounding is left, as the span holds all that the start reaches."""
+            sums = df.groupBy("path").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var")).join(bound, "path")
+            length = F.sqrt(F.col("var") * n)
+            return df.join(sums, "path").withColumn("x", F.when(length > 1e-11 * F.least(F.col("most"), F.lit(1.0)), (F.col("x") - F.col("mean")) / length).otherwise(0.0)).drop("mean", "var", "most", "n")
+
+        def ritz(df):
+            import pandas as pd
+
+            t, b = [], []
+            for row in df.itertuples():
+                h, there = np.array([list(r) for r in row.h], float), np.flatnonzero(np.array(row.g) > 0.5)
+                own = h[np.ix_(there, there)]
+                vals, vecs = np.linalg.eigh((own + own.T) / 2)
+                mixed = np.zeros(len(h))
+                mixed[there] = vecs[:, 0]
+                t.append(mixed.tolist())
+                b.append(float(vals[0]))
+            return pd.DataFrame({"path": df["path"], "t": t, "theta": b})
+
+        for _ in range(restarts):
+            now = save(unit(state).select("id", "path", "deg", F.array("x").alias("v"), F.array().cast("array<double>").alias("lv")), "lanczos")
+            for j in range(steps):
+                last = now.select(F.col("id").alias("dst"), F.element_at("v", -1).alias("y"))
+                pull = w.join(last, "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("y")).alias("pull"))
+                got = now.join(pull, F.col("id") == F.col("src")).select("id", "path", "deg", "v", "lv", (F.col("deg") * F.element_at("v", -1) - F.col("pull")).alias("z"))
+                got = save(got.select("id", "path", "deg", "v", F.array_append("lv", F.col("z")).alias("lv"), F.col("z").alias("x")), "lanczos")
+                if j + 1 == steps:
+                    now = got
+                    break
+                for _ in range(2):  # twice, as rounding leaves some of the earlier vectors
+                    dots = got.groupBy("path").agg(F.array(*[F.sum(F.col("v")[i] * F.col("x")) for i in range(j + 1)]).alias("c"))
+                    taken = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+                    got = got.join(dots, "path").withColumn("x", F.col("x") - taken).drop("c")
+                now = save(unit(got).select("id", "path", "deg", F.array_append("v", F.col("x")).alias("v"), "lv"), "lanczos")
+            h = now.groupBy("path").agg(F.array(*[F.array(*[F.sum(F.col("v")[a] * F.col("lv")[b]) for b in range(steps)]) for a in range(steps)]).alias("h"), F.array(*[F.sum(F.col("v")[a] * F.col("v")[a]) for a in range(steps)]).alias("g"))
+            best = save(h.mapInPandas(lambda it: (ritz(df) for df in it), "path string, t array<double>, theta double"), "ritz")
+            mix = lambda c: F.aggregate(F.zip_with(c, "t", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            state = save(now.join(best, "path").select("id", "path", "deg", mix("v").alias("x"), (mix("lv") - F.col("theta") * mix("v")).alias("off")), "fiedler")
+            left = state.groupBy("path").agg(F.sqrt(F.sum(F.col("off") * F.col("off")) / F.sum(F.col("x") * F.col("x"))).alias("residual")).join(bound, "path").where(F.col("residual") > self.tol * F.col("most"))
+            state = state.drop("off")
+            if not left.limit(1).count():
+                break
+        else:
+            logging.getLogger(__name__).warning("some Fiedler vectors have a residual above %g of the bound after %d restarts", self.tol, restarts)
+        return state.select("id", "path", "x")
 
     def _finish(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
         alpha, sigma, leaf = self.alpha, self.sigma, self.leaf_size
