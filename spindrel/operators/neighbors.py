@@ -135,14 +135,37 @@ class RPForest:
 
     def route(self, queries: DataFrame) -> DataFrame:
         """(id, tree, path): the leaf of each query in each tree; a point that was fitted comes to its own leaf."""
-        rows = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree")).withColumn("path", F.lit("")).withColumn("open", F.lit(True))
+        rows = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree")).withColumn("path", F.lit(""))
+        done: list[DataFrame] = []
         depth = self.rules.agg(F.max(F.length("path"))).first()[0]
         for _ in range(0 if depth is None else depth + 1):
-            moved = self._project(rows.where("open")).join(self.rules, ["tree", "path"], "left")
-            went = moved.select("id", "v", "tree", F.concat("path", F.when(F.col("threshold").isNull(), "").when(F.col("proj") <= F.col("threshold"), "L").otherwise("R")).alias("path"), F.col("threshold").isNotNull().alias("open"))
-            rows = went.unionByName(rows.where("not open"))
+            moved = self._project(rows).join(self.rules, ["tree", "path"], "left")
+            went = save(moved.select("id", "v", "tree", F.concat("path", F.when(F.col("threshold").isNull(), "").when(F.col("proj") <= F.col("threshold"), "L").otherwise("R")).alias("path"), F.col("threshold").isNotNull().alias("open")), "route")
+            done.append(went.where("not open").select("id", "tree", "path"))
+            rows = went.where("open").drop("open")
+        for d in done:
+            rows = rows.select("id", "tree", "path").unionByName(d)
         return rows.select("id", "tree", "path")
 
+    def write(self, path: str) -> None:
+        """Stores the forest in a folder: its parameters, rules, leaves and points, each a table."""
+        spark, root = self.points.sparkSession, path.rstrip("/")
+        spark.createDataFrame([(self.trees, self.leaf_size, self.max_depth, self.seed)], "trees int, leaf_size int, max_depth int, seed long").coalesce(1).write.parquet(f"{root}/parameters")
+        for name in ("rules", "leaves", "points"):
+            getattr(self, name).write.parquet(f"{root}/{name}")
+
+    @classmethod
+    def read(cls, spark, path: str) -> "RPForest":
+        """A stored forest; it may have been moved, as the tables lie next to each other."""
+        root = path.rstrip("/")
+        out = cls(**spark.read.parquet(f"{root}/parameters").first().asDict())
+        out.rules, out.leaves, out.points = (spark.read.parquet(f"{root}/{name}") for name in ("rules", "leaves", "points"))
+        return out
+
+    def leaf_sizes(self) -> DataFrame:
+        """(tree, path, n) of all leaves."""
+        return self.leaves.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n"))
+
     def knn(self, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
         """(q, id, dist, rank) among the points that share a leaf with the query in any tree; metric: euclidean, cosine or abs_cosine (null distances, of zero vectors, come last)."""
         there = self.leaves.withColumnRenamed("id", "p").join(self.route(queries).withColumnRenamed("id", "q"), ["tree", "path"]).select("q", "p").distinct()

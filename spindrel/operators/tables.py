@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from spindrel.plans.catalog import Catalog
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spindrel.plans.catalog import Catalog, table
 from spindrel.plans.dialects import both
 
 CATALOG = Catalog()
@@ -22,10 +27,17 @@ def _(d):
     return "SELECT l_suppkey, l_linenumber, l_quantity FROM lineitem"
 
 
-@q("regex_project")
-def _(d):
-    # the columns of part whose names match p_(name|size)
-    return "SELECT p_name, p_size FROM part"
+def columns_like(df: DataFrame, pattern: str) -> DataFrame:
+    """The columns whose names the regular expression matches from their start, in their order; none is an error."""
+    names = [c for c in df.columns if re.match(pattern, c)]
+    if not names:
+        raise ValueError(f"no column matches {pattern}")
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+
+
+@CATALOG.query("regex_project", "SELECT p_name, p_size FROM part")
+def _columns_like(spark, sf_dir):
+    return columns_like(table(spark, sf_dir, "part"), "p_(name|size)")
 
 
 @q("range_filter")
@@ -291,9 +303,15 @@ def _(d):
     return f"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, lpad(CAST(page_id AS {d.text}), 8, '0') AS padded, regexp_replace(url, '[0-9]', '#'{'' if d.text == 'STRING' else ', ' + chr(39) + 'g' + chr(39)}) AS masked FROM pages"
 
 
-@q("json_roundtrip")
-def _(d):
-    return "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events" if d.text == "STRING" else "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+def json_text(c: Column, sort: bool = True) -> Column:
+    """A map as JSON text, its keys sorted so that equal maps give equal texts; null stays null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))) if sort else c)
+
+
+@CATALOG.query("json_roundtrip", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN props IS NULL THEN NULL ELSE '{"event_type":"' || event_type || '","k":"' || json_extract_string(props, '$.k') || '"}' END AS written FROM events""")
+def _json(spark, sf_dir):
+    read = table(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
+    return read.select("event_id", F.col("m")["k"].cast("long").alias("k"), json_text(F.map_concat("m", F.create_map(F.lit("event_type"), "event_type"))).alias("written"))
 
 
 @q("exceeds_n")

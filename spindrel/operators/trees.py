@@ -43,6 +43,44 @@ def prune(leaves: DataFrame, depth: int) -> DataFrame:
     return leaves.withColumn("path", F.substring("path", 1, depth))
 
 
+def map_leaves(leaves: DataFrame, **columns: Column) -> DataFrame:
+    """The leaves with data columns set to functions of what a leaf holds; id and path stay as they are."""
+    if {"id", "path"} & set(columns):
+        raise ValueError("id and path make the tree")
+    return leaves.withColumns(columns)
+
+
+def reduce_leaves(leaves: DataFrame, path: str = "path", **combine: Column) -> DataFrame:
+    """(node, ...) with an aggregate of the leaves below every node, itself included; ``combine`` names aggregates, e.g. total=F.sum("x"). The root is ''."""
+    return leaves.withColumn("node", F.explode(prefixes(F.col(path)))).groupBy("node").agg(*[c.alias(name) for name, c in combine.items()])
+
+
+def replace_leaves(leaves: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, path) where the leaves that ``parts`` (id, below) names are replaced by the trees below them; ids that parts doesn't have keep their leaf.
+
+    A leaf of which only some ids are replaced would be a leaf and an inner node at once, so that is an error; so is a part whose id is in no leaf.
+    """
+    both = leaves.select("id", "path").join(parts.select("id", "below"), "id", "full")
+    checked = both.groupBy("path").agg((F.count("below") % F.count(F.lit(1)) != 0).alias("torn"), F.max(F.length("below")).alias("deep"))
+    if checked.where("path is null or (torn and deep > 0)").limit(1).count():
+        raise ValueError("parts must replace whole leaves of the tree")
+    return both.select("id", F.concat("path", F.coalesce("below", F.lit(""))).alias("path"))
+
+
+def same_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, path_a, path_b) of ids whose leaf differs; empty for equal trees."""
+    both = a.select("id", F.col("path").alias("path_a")).join(b.select("id", F.col("path").alias("path_b")), "id", "full")
+    return both.where(~F.col("path_a").eqNullSafe(F.col("path_b")))
+
+
+def pretty(leaves: DataFrame, most: int = 1000) -> str:
+    """A tree as text: a line for each node with its number of rows, two blanks a level. A tree of more than ``most`` nodes is an error, as it isn't for reading."""
+    nodes = rollup(leaves, []).orderBy("node").limit(most + 1).collect()
+    if len(nodes) > most:
+        raise ValueError(f"the tree has more than {most} nodes")
+    return "\n".join(f"{'  ' * len(r['node'])}{r['node'][-1:] or 'root'} ({r['n']})" for r in nodes)
+
+
 def integrity(nodes: DataFrame) -> DataFrame:
     """(path, fault) of a node table: a leaf below a leaf, or an inner node with one side only."""
     inner = nodes.select(F.explode(prefixes(F.col("path"))).alias("a"), "path").where("a <> path")

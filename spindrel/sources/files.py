@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, header:
 def read_csv_after_comments(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file whose header is its last line that starts with '#': names are stripped, all columns are strings."""
     lines = spark.read.text(path).where("value <> ''")
-    marked = lines.where(F.col("value").startswith("#"))
-    header = [r["value"] for r in marked.collect()][-1]  # a file's comment lines
+    marked = numbered_lines(spark, path).where(F.col("value").startswith("#"))
+    header = marked.agg(F.max_by("value", "line")).first()[0]
+    if header is None:
+        raise ValueError(f"{path} has no line that starts with '#'")
     names = [n.strip() for n in header.lstrip("#").split(",")]
     parts = F.split("value", ",")
     return lines.where(~F.col("value").startswith("#")).select(*[F.trim(F.try_element_at(parts, F.lit(i + 1))).alias(n) for i, n in enumerate(names)])
@@ -62,9 +64,12 @@ def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line from 0, value) of one file, which one task reads so that its lines stay in order."""
-    whole = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("line", "value"))
-    return whole.select(F.col("line").cast("long").alias("line"), "value")
+    """(line from 0, value) of a text file, of several in the order of their names. Splits are numbered by themselves and begin where the splits before them end, so a file has no limit of size."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", "split", (F.sum("n").over(Window.orderBy("file", "split")) - F.col("n")).alias("before"))  # a row for each split
+    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1
+    return rows.withColumn("place", place).join(before, ["file", "split"]).select((F.col("before") + F.col("place")).cast("long").alias("line"), "value")
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -156,6 +161,28 @@ def write_by_leaf(df: DataFrame, path: str, leaf: str = "leaf_path") -> None:
     df.repartition(leaf, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(8))).write.partitionBy(leaf).parquet(path)
 
 
+def write_csv_by_leaf(df: DataFrame, path: str, leaf: str = "leaf_path") -> None:
+    """A folder for each leaf with one CSV file that has its header; a leaf is as small as its tree says, so one task writes it."""
+    df.repartition(leaf).write.partitionBy(leaf).option("header", True).csv(path)
+
+
+def write_documents(tokens: DataFrame, path: str) -> None:
+    """Text files with a document a line, its terms in order with blanks between, in ascending doc_id; tokens: (doc_id, pos, term). A document without terms has no line."""
+    lines = tokens.where("term is not null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda t: t["term"]), " ").alias("value"))
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+
+
+def write_snapshot(tables: dict[str, object], root: str, stamp: str) -> list[str]:
+    """Writes the DataFrames among ``tables`` as Parquet to root/stamp/name; returns the names of what isn't one and was left out."""
+    left_out = []
+    for name, t in tables.items():
+        if isinstance(t, DataFrame):
+            t.write.parquet(f"{root.rstrip('/')}/{stamp}/{name}")
+        else:
+            left_out.append(name)
+    return sorted(left_out)
+
+
 def write_once(df: DataFrame, path: str, force: bool = False) -> None:
     """Does nothing where the output is there, unless forced."""
     df.write.mode("overwrite" if force else "ignore").parquet(path)
