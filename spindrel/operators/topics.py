@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -565,14 +565,18 @@ class SimpleHierarchicalTopicModel:
     def __init__(self, paths: list[list[int]], dl: float = 1.0, dd: float = 1.0, dv: float = 0.1, seed: int = 0) -> None:
         self.paths, self.dl, self.dd, self.dv, self.seed = paths, dl, dd, dv, seed
 
-    def fit(self, slots: DataFrame, epochs: int = 3) -> DataFrame:
-        """(node, term, val): the words' weights of each node; slots: (doc_id, pos, term)."""
+    def fit(self, slots: DataFrame, epochs: int = 3, start: Callable[[Column, Column], Column] | None = None, after: Callable[[int, dict], bool] | None = None) -> DataFrame:
+        """(node, term, val): the words' weights of each node; slots: (doc_id, pos, term).
+
+        ``start`` gives what a (node, term) weighs at first beside the prior, numbers hashed from both if it isn't given; ``after`` sees each epoch's number and tables and stops the fit by
+        True. ``history`` has a row of numbers for each epoch: the mass of each node and the mean entropy of the documents' leaf shares.
+        """
         spark, depths = slots.sparkSession, len(self.paths[0])
         tree = F.broadcast(spark.createDataFrame([(i, k, n) for i, p in enumerate(self.paths) for k, n in enumerate(p)], "leaf int, depth int, node int"))
         nodes = tree.select("node").distinct()
         terms = slots.select("term").distinct()
         uniform = lambda *key: (F.pmod(F.xxhash64(F.lit(self.seed), *key), F.lit(1 << 20)) / (1 << 20))
-        dv = save(nodes.crossJoin(terms).withColumn("val", self.dv + uniform("node", "term")), "dv")
+        dv = save(nodes.crossJoin(terms).withColumn("val", self.dv + (start or uniform)(F.col("node"), F.col("term"))), "dv")
         dd = save(slots.select("doc_id").distinct().crossJoin(spark.range(depths).select(F.col("id").cast("int").alias("depth"))).withColumn("val", F.lit(self.dd)), "dd")
         dl = save(slots.select("doc_id").distinct().crossJoin(spark.range(len(self.paths)).select(F.col("id").cast("int").alias("leaf"))).withColumn("val", F.lit(self.dl)), "dl")
         d = save(slots.crossJoin(spark.range(depths).select(F.col("id").cast("int").alias("depth"))).withColumn("p", F.lit(1.0 / depths)), "d")
@@ -586,7 +590,8 @@ class SimpleHierarchicalTopicModel:
             x = t.withColumn("x", F.exp(F.col("e") - F.max("e").over(w)))
             return x.select("doc_id", "pos", "term", k, (F.col("x") / F.sum("x").over(w)).alias("p"))
 
-        for _ in range(epochs):
+        self.history: list[dict] = []
+        for epoch in range(epochs):
             word = save(elog(dv, "node"), "elog")
             l = d.join(tree, "depth").join(word, ["node", "term"]).groupBy("doc_id", "pos", "term", "leaf").agg(F.sum(F.col("p") * F.col("e")).alias("m"))
             l = save(soft(l.join(elog(dl, "doc_id"), ["doc_id", "leaf"]).withColumn("e", F.col("m") + F.col("e")), "leaf"), "l")
@@ -596,7 +601,13 @@ class SimpleHierarchicalTopicModel:
             dd = save(d.groupBy("doc_id", "depth").agg((self.dd + F.sum("p")).alias("val")), "dd")
             seen = l.withColumnRenamed("p", "pl").join(d, ["doc_id", "pos", "term"]).join(tree, ["leaf", "depth"]).groupBy("node", "term").agg(F.sum(F.col("pl") * F.col("p")).alias("n"))
             dv = save(nodes.crossJoin(terms).join(seen, ["node", "term"], "left").select("node", "term", (self.dv + F.coalesce("n", F.lit(0.0))).alias("val")), "dv")
-        self.leaf_shares, self.slot_leaves, self.slot_depths = dl, l, d
+            self.leaf_shares, self.slot_leaves, self.slot_depths = dl, l, d
+            mass = {r["node"]: r["m"] for r in dv.groupBy("node").agg(F.sum("val").alias("m")).collect()}  # a number for each node
+            share = F.col("val") / F.sum("val").over(Window.partitionBy("doc_id"))
+            entropy = dl.select("doc_id", (-share * F.log(share)).alias("h")).groupBy("doc_id").agg(F.sum("h").alias("h")).agg(F.avg("h")).first()[0]
+            self.history.append({"epoch": epoch, "mass": mass, "entropy": entropy})
+            if after is not None and after(epoch, {"dv": dv, "dl": dl, "dd": dd, "l": l, "d": d}):
+                break
         return dv
 
 

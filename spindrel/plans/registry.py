@@ -5,6 +5,6 @@ import importlib
 from spindrel.plans.catalog import Catalog
 
 CATALOG = Catalog()
-for _module in ("tables", "spectra", "neighbors", "trees", "topics", "models", "covers", "extraction", "simulators", "samplers"):
+for _module in ("tables", "spectra", "neighbors", "trees", "topics", "models", "covers", "extraction", "simulators", "samplers", "plates"):
     for _name, _query in (_found := importlib.import_module(f"spindrel.operators.{_module}").CATALOG).queries.items():
         CATALOG.add(_name, _query, _found.sql.get(_name))
