@@ -127,8 +127,17 @@ def l1_kmeans(points: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> tup
     centres = [list(map(float, r["v"])) for r in first]
 
     def near(c: list[list[float]]) -> F.Column:
-        d = [F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in row]), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) for row in c]
-        return F.array_position(F.array(*d), F.array_min(F.array(*d))).cast("int") - 1
+        @F.pandas_udf("int")
+        def place(v):
+            import pandas as pd
+
+            x, best, at = np.stack(v.to_numpy()), np.full(len(v), np.inf), np.zeros(len(v), np.int32)
+            for i, row in enumerate(c):
+                d = np.abs(x - np.array(row)).sum(1)
+                at, best = np.where(d < best, i, at), np.minimum(d, best)
+            return pd.Series(at)
+
+        return place("v")
 
     for _ in range(rounds):
         means = points.withColumn("c", near(centres)).groupBy("c").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(len(centres[0]))]).alias("m")).collect()
