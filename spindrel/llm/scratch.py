@@ -1,5 +1,5 @@
 """Tables written between jobs, in the folder that driver and executors share."""
 
-from spindrel.plans.scratch import folder, new_path, save
+from spindrel.plans.scratch import drop, folder, freed, new_path, save
 
-__all__ = ["folder", "new_path", "save"]
+__all__ = ["drop", "folder", "freed", "new_path", "save"]
