@@ -1,11 +1,12 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the incidence matrix are the distinct sets (equal sets are one *class*), columns are shingle
-hashes. The product with its transpose is never formed: each class enters it with its least ``p`` shingles in hash order
-only, where ``p = m + m // 2 + 2`` and ``m = n - ceil(t * n)`` is how many of its n shingles a partner can lack.
+hashes. The product with its transpose is never formed: each class enters it with its first ``p`` shingles only, in an order that has
+the common ones last, where ``p = m + m // 2 + 2`` and ``m = n - ceil(t * n)`` is how many of its n shingles a partner can lack.
 Two linked classes then share ``p - m`` of these columns at least (for the smaller p - m of the two). The columns are
 dealt to blocks; a block multiplies its columns and adds up overlap counts of the pairs whose sizes allow a link, and
-pairs whose summed count stays below the bound are discarded. The others are compared exactly.
+pairs whose summed count stays below the bound are discarded. The others are compared exactly. Any order that is the same for all sets
+gives these counts, so a sample is enough to tell what is common: it decides what the product costs, not what it finds.
 
 A column with more than ``longest`` classes isn't multiplied. A class counts how many such columns it has; the
 bound is lowered by the smaller count, and as long as that count is below p - m, no link of the class can be lost. Classes with more are
@@ -20,6 +21,7 @@ Columns that a sample of the incidence matrix proves to be long are never gather
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm.components import components
-from spindrel.llm.scratch import save
+from spindrel.llm.scratch import drop, freed, save
 from spindrel.llm.shingles import buffers, mix, shingle_sets, slices
 
 #: Classes of a column above which the first product leaves it to the second.
@@ -41,7 +43,7 @@ def lacking(n, num: int, den: int):
 
 
 def kept(n, num: int, den: int):
-    """How many least shingles of n enter the product."""
+    """How many of n shingles enter the product."""
     m = lacking(n, num, den)
     return np.minimum(n, m + m // 2 + 2)
 
@@ -57,20 +59,63 @@ def _class_of(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def _incidence(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+#: Bytes of text, about, whose shingles are counted, and how many of the commonest are listed at most (5 MB for each task).
+RANK_SAMPLE, RANKED = 1 << 26, 1 << 19
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, limit=1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(*buffers(batch.column(0)), words))).view(np.int64))], ["gram"])
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, sorted, and a level for each that grows with its count."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = texts.where(F.expr(f"pmod(xxhash64(text), {1 << 30}) < {int(RANK_SAMPLE / size * (1 << 30))}")) if size > RANK_SAMPLE else texts
+    counts = some.where("text is not null").select("text").mapInArrow(lambda it: _shingles(it, words), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = save(counts.where("n > 1").select("gram", F.expr("cast(floor(2 * log2(n)) as int)").alias("level")), "common")
+    least, listed = None, 0
+    for r in sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["level"]):
+        listed += r["k"]
+        if listed > RANKED:
+            break
+        least = r["level"]
+    found = counted.where(F.col("level") >= F.lit(least)).toArrow()
+    drop(counted)
+    grams, level = found.column("gram").to_numpy().view(np.uint64), found.column("level").to_numpy().astype(np.int8)
+    order = np.argsort(grams)
+    return grams[order], level[order]
+
+
+def _first(s: np.ndarray, k: int, grams: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """k shingles of a sorted set: those that aren't listed in hash order, then those of lower levels."""
+    if k >= len(s) or not len(grams):
+        return s[:k]
+    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+    return s[np.argsort(np.where(grams[at] == s, level[at], 0), kind="stable")[:k]]
+
+
+def _incidence(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
             n, cls, least = [], [], []
             for s in shingle_sets(*buffers(batch.column(1)), words):
                 n.append(len(s))
                 cls.append(_class_of(s) if len(s) else (None, None))
-                least.append(s[: int(kept(len(s), num, den))].tobytes() if len(s) else None)
+                least.append(_first(s, int(kept(len(s), num, den)), *common).tobytes() if len(s) else None)
             halves = [pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *halves, pa.array(least, pa.binary())], ["doc_id", "n", "cls", "rest", "least"])
 
 
 #: Rows of the incidence matrix's sample, about; long columns are found in it.
 COLUMN_SAMPLE = 1 << 18
+#: Rows of the sample of whole columns, about; it tells how many overlap counts there will be.
+WHOLE_SAMPLE = 1 << 18
+
+
+#: Rows of overlap counts that are shuffled at once at least: as many as enter the product, or so many if these are more.
+OVERLAPS = 1 << 24
 
 
 def _columns(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
@@ -93,6 +138,12 @@ def _in_sample(share: float):
     return lambda gram, cls: mix(gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64)) <= top
 
 
+def _whole_columns(share: float):
+    """Takes a share of the columns whole, by a hash of the gram."""
+    top = np.uint64(min(2**64 - 1, int(share * 2**64)))
+    return lambda gram, cls: mix(gram.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) <= top
+
+
 def _known(grams: np.ndarray, inside: bool):
     """Takes the rows whose gram is one of the sorted grams, or isn't."""
     if not len(grams):
@@ -244,6 +295,46 @@ def _dealt(members: DataFrame, name: str) -> DataFrame:
     return members.join(_sent(room, "rooms"), ["comp", "span"], "left").withColumn(name, F.expr("pmod(xxhash64(cls), coalesce(room, 1))")).drop("room")
 
 
+#: Pairs of blocks that are multiplied at once, each of some 2 MB: what a wave has shuffled is deleted before the next.
+WAVE = 256
+
+
+def _each_product(table: pa.Table, num: int, den: int) -> pa.Table:
+    """The links of clusters (comp, cls, grams) that share a turn, each by its own product."""
+    table = table.sort_by("comp").append_column("second", pa.array(np.zeros(len(table), bool)))
+    comp = table.column("comp").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(comp)) + 1).tolist(), len(table)]
+    return pa.concat_tables(_product(table.slice(a, b - a), num, den) for a, b in zip(cuts, cuts[1:]))
+
+
+#: Pairs that are compared at once in clusters that don't fit a block, each with both its sets.
+PAIRS = 1 << 16
+
+
+def _within_pairs(pairs: DataFrame, sizes: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+    """(x, y) that may be linked -> links. Clusters of such pairs go through a product that each set enters once, however many pairs it is in; those that don't fit a block go pair by pair, some at a time."""
+    clusters = components(pairs).select(F.col("node").alias("cls"), "comp").join(sizes, "cls")
+    members = save(clusters.withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "pair-clusters")
+    weights = save(members.groupBy("comp").agg(F.sum("weight").alias("all")), "weights")
+    small = weights.where(F.col("all") <= BLOCK)
+    turns = -(-int(small.agg(F.sum("all")).first()[0] or 0) // BLOCK)
+    dealt = sets_of(members.join(small.select("comp"), "comp", "left_semi").select("cls", "comp")).withColumn("turn", F.expr(f"pmod(xxhash64(comp), {max(1, turns)})"))
+    links = save(dealt.groupBy("turn").applyInArrow(lambda t: _each_product(t.select(["comp", "cls", "grams"]), num, den), "x long, y long"), "links")
+    large = weights.where(F.col("all") > BLOCK)
+    if large.limit(1).count():
+        inside = save(members.join(large.select("comp"), "comp", "left_semi").select("cls"), "large-pair-clusters")
+        sets = save(sets_of(inside), "sets")
+        rest = save(pairs.join(inside.select(F.col("cls").alias("x")), "x", "left_semi"), "large-pairs")
+        waves = -(-rest.count() // PAIRS)
+        for k in range(waves):
+            wave = rest.where(F.expr(f"pmod(xxhash64(x), {waves}) = {k}"))
+            both = wave.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("s")), "x").join(sets.select(F.col("cls").alias("y"), F.col("grams").alias("t")), "y")
+            links = links.union(save(both.select("x", "y", "s", "t").mapInArrow(lambda it: _compare(it, num, den), "x long, y long"), "links"))
+        drop(inside, sets, rest)
+    drop(members, weights)
+    return links
+
+
 def _within_clusters(long: DataFrame, sets_of, num: int, den: int, bound) -> DataFrame:
     """(cls, gram, n) of crowded classes -> links among them.
 
@@ -257,26 +348,32 @@ def _within_clusters(long: DataFrame, sets_of, num: int, den: int, bound) -> Dat
     tied = save(each.select("cls", span.alias("span"), F.explode(F.slice("grams", F.lit(1), some)).alias("gram")), "tied")
     beside = tied.select("gram", "span").distinct().select(F.xxhash64("gram", "span").alias("x"), F.xxhash64("gram", F.col("span") + 1).alias("y"))
     clusters = components(tied.select(F.col("cls").alias("x"), F.xxhash64("gram", "span").alias("y")).union(beside))
+    drop(tied)
     sizes = long.groupBy("cls").agg(F.first("n").alias("n"))
     members = save(clusters.withColumnRenamed("node", "cls").join(sizes, "cls").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "clusters")
     # a cluster that fits a block is one; others are dealt span by span
     large = members.groupBy("comp").agg(F.sum("weight").alias("all")).where(F.col("all") > BLOCK).select("comp", F.lit(True).alias("large"))
     members = members.join(_sent(large, "large-clusters"), "comp", "left").withColumn("span", F.when(F.col("large"), span).otherwise(-1)).drop("large")
     members = save(_dealt(members, "block"), "members")
-    blocks = members.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sets = sets_of(members.select("cls"), "crowded-sets")
+    blocks = save(members.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
+    sets = save(sets_of(members.select("cls").distinct()), "crowded-sets")
 
-    def products(first: DataFrame, second: DataFrame | None, name: str) -> DataFrame:
-        """Links of turns: (turn, comp, span, block) sides of own pairs, or also second sides that meet the first."""
+    def products(first: DataFrame, second: DataFrame | None, count: int, name: str) -> DataFrame:
+        """Links of count turns: (turn, comp, span, block) sides of own pairs, or also second sides that meet the first."""
         sides = first.select("turn", "comp", "span", "cls", F.lit(False).alias("second"))
         if second is not None:
             sides = sides.union(second.select("turn", "comp", "span", "cls", F.lit(True).alias("second")))
-        dealt = sides.join(sets, "cls").select("turn", "cls", "second", "grams")
-        return save(dealt.groupBy("turn").applyInArrow(lambda t: _product(t, num, den), "x long, y long").distinct(), name)
-
-    own = products(members.withColumn("turn", F.struct("comp", "span", "block")), None, "own-links")
+        waves, out = -(-count // WAVE), []
+        for k in range(waves):
+            wave = sides.where(F.expr(f"pmod(xxhash64(turn), {waves}) = {k}")) if waves > 1 else sides
+            dealt = wave.join(sets, "cls").select("turn", "cls", "second", "grams")
+            out.append(save(dealt.groupBy("turn").applyInArrow(lambda t: _product(t, num, den), "x long, y long"), name))
+        return reduce(DataFrame.union, out)
+
+    own = products(members.withColumn("turn", F.struct("comp", "span", "block")), None, blocks.count(), "own-links")
     several = blocks.where("span >= 0")
     if not several.limit(1).count():
+        drop(sets)
         return own
 
     def near(a: str, b: str) -> str:
@@ -291,15 +388,33 @@ def _within_clusters(long: DataFrame, sets_of, num: int, den: int, bound) -> Dat
     def side(of: DataFrame, which: DataFrame, k: str) -> DataFrame:
         return of.join(which.select("turn", "comp", F.col(k).alias("span"), F.col(k + "b").alias("block")), ["comp", "span", "block"])
 
+    def across(first: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """Links of pairs of blocks, the first side's classes from first."""
+        return products(side(first, pairs, "i"), side(members, pairs, "j"), count, name) if (count := pairs.count()) else own.limit(0)
+
     led = save(turns(several, several.where("block = 0")).where("not (i >= j and ib = jb)"), "turns")  # of two leading blocks, the pair counts once
-    ahead = products(side(members, led, "i"), side(members, led, "j"), "leading-links")
+    ahead = across(members, led, "leading-links")
     groups = components(own.union(ahead)).select(F.col("node").alias("cls"), F.col("comp").alias("label"))
     spread = save(members.where("span >= 0").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "spread")
     largest = spread.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("top")).select("comp", F.col("top.label").alias("label"))
     rest = save(_dealt(spread.join(_sent(largest, "largest-groups"), ["comp", "label"], "left_anti").select("comp", "span", "cls", "n", "weight"), "block"), "rest")
     tail = rest.groupBy("comp", "span", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     last = save(turns(tail, several.where("block > 0")), "turns")  # leading blocks have met all
-    return own.union(ahead).union(products(side(rest, last, "i"), side(members, last, "j"), "other-links"))
+    out = own.union(ahead).union(across(rest, last, "other-links"))
+    drop(sets, spread, rest, led, last)
+    return out
+
+
+#: Bits of the map of keys that tasks get, in words of 64.
+BITS = 1 << 23
+
+
+def _among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is in wanted, and a few others: a map of bits that all tasks get tells them, so rows stay where they are."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words = wanted.select(place.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    near = rows.withColumn("at", place).withColumn("word", F.expr("at div 64")).join(F.broadcast(words), "word").where("(shiftright(bits, cast(at % 64 as int)) & 1) = 1")
+    return near.select(*rows.columns)
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -319,12 +434,20 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     are enough links to join the group, not all of its pairs. Rows of a null or wordless text have the empty set, a null class and their own id as component. Rows with
     equal sets (copies, or ids that repeat) are one class. A row without id is in the class of its text, but can't give a component its id. Other columns of docs are not read. An empty docs gives two empty tables.
     """
-    num, den = percent, 100
+    with freed(docs.sparkSession):
+        return _join(docs, words, percent, 100, longest, id_col, text_col)
+
+
+def _join(docs: DataFrame, words: int, num: int, den: int, longest: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = _apart(save(texts.mapInArrow(lambda it: _incidence(it, words, num, den), "doc_id long, n long, cls long, rest long, least binary"), "incidence"))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("rest").alias("rest"))
+    common = _common(texts, words)
+    incidence = save(texts.mapInArrow(lambda it: _incidence(it, words, num, den, common), "doc_id long, n long, cls long, rest long, least binary"), "incidence")
+    wide = _apart(incidence)
+    rows = save(wide.select("doc_id", "n", "cls", "first", "rest"), "rows")
+    classes = save(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")), "classes")
     # One row of each class enters the product: the one with the least id, and of several such rows any, as their sets are equal.
-    reps = rows.where("cls is not null and doc_id is not null").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "n", "least")
+    reps = save(wide.where("cls is not null and doc_id is not null").select("doc_id", "cls", "n", "least").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "n", "least"), "reps")
+    drop(incidence, *([wide] if hasattr(wide, "saved_at") else []))
     # (An id that repeats with equal sets gives a class twice in a column; such pairs of x = y fall out below.)
     schema, grams = "gram long, cls long, n int", reps.agg(F.sum(F.octet_length("least")) / 8).first()[0] or 0
     sample = reps.mapInArrow(lambda it, take=_in_sample(COLUMN_SAMPLE / max(1, grams)): _columns(it, take), schema)
@@ -334,38 +457,50 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longe
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = columns.repartition(parts, "gram").sortWithinPartitions("gram", "n", "cls")
     product = dealt.mapInArrow(lambda it: _multiply(it, num, den, longest), "long boolean, x long, y long, nx int, ny int")
-    counts = save(product.where("long or x <> y").groupBy("long", "x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c")), "overlaps")
-    long = counts.where("long").select(F.col("x").alias("cls"), F.col("y").alias("gram"), F.col("nx").alias("n"))
+    share = min(1.0, WHOLE_SAMPLE / max(1, grams))
+    whole = reps.mapInArrow(lambda it, take=_whole_columns(share): _columns(it, take), schema).groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= longest)
+    waves = max(1, -(-int((whole.agg(F.sum(F.expr("k * (k - 1) / 2"))).first()[0] or 0) / share) // int(max(OVERLAPS, grams))))
+    counts = []
+    for k in range(waves):
+        of = F.expr(f"if(long, {k} = 0, x <> y and pmod(xxhash64(x, y), {waves}) = {k})")
+        counts.append(save(product.where(of).groupBy("long", "x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c")), "overlaps"))
+    overlaps = reduce(DataFrame.union, counts)
+    long = counts[0].where("long").select(F.col("x").alias("cls"), F.col("y").alias("gram"), F.col("nx").alias("n"))
     if len(seen):
         long = long.union(reps.mapInArrow(lambda it: _columns(it, _known(seen, True)), schema).select("cls", "gram", "n").distinct())
-    held = long.groupBy("cls").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n"))
+    long = save(long, "long-columns")
+    drop(reps)
+    held = save(long.groupBy("cls").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")), "held")
 
     def bound(n):
         m = f"({n} - ({num} * {n} + {den - 1}) div {den})"
         return f"(least({n}, {m} + {m} div 2 + 2) - {m})"
 
-    pairs = counts.where("not long").drop("long")
+    pairs = overlaps.where("not long").drop("long")
     for k in "xy":
         pairs = pairs.join(held.select(F.col("cls").alias(k), F.col("h").alias(f"h{k}")), k, "left").fillna(0, [f"h{k}"])
     pairs = pairs.where(f"c >= least({bound('nx')}, {bound('ny')}) - least(hx, hy)").select("x", "y")
     reach = classes.select("cls", "first", "rest", F.col("rep").alias("doc_id"))
 
-    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        """(cls, grams) of the classes in wanted, from the text of one row each."""
-        wanted = wanted.distinct().join(reach, "cls")
-        found = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        return save(found.mapInArrow(lambda it: _sets(it, words), "first long, rest long, grams binary").join(wanted.select("cls", "first", "rest"), ["first", "rest"]).groupBy("cls").agg(F.first("grams").alias("grams")), name)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(cls, grams) of the classes in wanted and its other columns, from the text of one row each."""
+        wanted = save(wanted.join(reach, "cls"), "wanted")
+        found = _among(_among(texts, "doc_id", wanted).mapInArrow(lambda it: _sets(it, words), "first long, rest long, grams binary"), "first", wanted)
+        more = [c for c in wanted.columns if c not in ("first", "rest", "doc_id", "n")]
+        return found.join(wanted.select("first", "rest", *more), ["first", "rest"]).groupBy("first", "rest").agg(F.first("grams").alias("grams"), *[F.first(c).alias(c) for c in more]).drop("first", "rest")
 
     pairs = save(pairs.distinct(), "pairs")
-    sets = sets_of(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")), "sets")
-    both = pairs.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("s")), "x").join(sets.select(F.col("cls").alias("y"), F.col("grams").alias("t")), "y")
-    links = save(both.select("x", "y", "s", "t").mapInArrow(lambda it: _compare(it, num, den), "x long, y long"), "links")
+    drop(*counts)
+    links = _within_pairs(pairs, classes.select("cls", "n"), sets_of, num, den)
+    drop(pairs)
     crowded = held.where(f"h >= {bound(f'(({num} * n + {den - 1}) div {den})')}").select("cls", "n")
-    long = save(long.join(crowded.select("cls"), "cls", "left_semi"), "long")
-    if long.limit(1).count():
-        links = links.union(_within_clusters(long, sets_of, num, den, bound))
+    crowds = save(long.join(crowded.select("cls"), "cls", "left_semi"), "long")
+    drop(long, held)
+    if crowds.limit(1).count():
+        links = links.union(_within_clusters(crowds, sets_of, num, den, bound))
+    drop(crowds)
     comps = components(links)
-    ids = classes.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    ids = save(classes.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp")), "ids")
     label = ids.join(ids.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
     members = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
     return members.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), links
