@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm.bpe import default_path, encoder
-from spindrel.llm.scratch import new_path
+from spindrel.llm.scratch import freed, new_path
 
 MAGIC = b"SPTOK1"
 #: Ids that a segment should hold; a longer document has a segment of its own.
@@ -147,14 +147,15 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int, id_col: str = "
 
     Ids are those of the tokenizer file ``path`` without special tokens. Null texts are empty, null document ids come first, repeated ids are ordered by
     their texts; an empty docs writes no segment. Ids take 2 bytes if the vocabulary allows it, else 4. Spark's writer commits the segments, so a task that
-    is tried again leaves none twice.
+    is tried again leaves none twice. The shuffle files of the texts are deleted when all is written.
     """
     width = 2 if max(encoder(path).whole.get_vocab_size(), end + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the start of the text goes with the id, so that null ids, or one id of many rows, are cut up too
     ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda it: _write(it, path, end, width), "worker int, number int, before long, n_ids long, segment binary").write.option("compression", "none").parquet(out)
+    with freed(docs.sparkSession):
+        ordered.mapInArrow(lambda it: _write(it, path, end, width), "worker int, number int, before long, n_ids long, segment binary").write.option("compression", "none").parquet(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +173,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary of little-endian uint32) of a folder of write_tokens.
 
-    start counts the ids of all documents before; it needs one sum for each writing task, which Spark joins by its own measure of their size.
+    start counts the ids of all documents before; it needs one sum for each writing task. These few numbers go to all tasks, so that the segments are read
+    where they lie: left to its own measure, Spark shuffles them all before it knows how small the sums are.
     """
     segments = spark.read.parquet(out)
     ends = segments.groupBy("worker").agg(F.sum("n_ids").alias("n")).withColumn("block", F.expr("worker div 4096"))
     blocks = ends.groupBy("block").agg(F.sum("n").alias("s")).selectExpr("block", "sum(s) over (order by block rows between unbounded preceding and current row) - s as earlier")
     first = ends.join(blocks, "block").selectExpr("worker", "earlier + sum(n) over (partition by block order by worker rows between unbounded preceding and current row) - n as first")
-    return segments.join(first, "worker").select((F.col("first") + F.col("before")).alias("start"), "segment").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(F.broadcast(first), "worker").select((F.col("first") + F.col("before")).alias("start"), "segment").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, end: int = 2, path: str | None = None) -> DataFrame:
