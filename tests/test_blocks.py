@@ -27,7 +27,7 @@ def rows():
 
 
 @pytest.mark.parametrize("block", [2048, 7])
-@pytest.mark.parametrize("name", ["dot_products", "knn_similarity", "knn_graph", "knn_graph_mutual"])
+@pytest.mark.parametrize("name", ["dot_products", "knn_similarity", "rbf_similarity", "knn_graph", "knn_graph_mutual"])
 def test_all_pairs_in_blocks_match_sql(spark, tmp_path, rows, name, block, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK", block)
     folder = write(spark, tmp_path, rows)
@@ -39,7 +39,7 @@ def test_all_pairs_in_blocks_match_sql(spark, tmp_path, rows, name, block, monke
     assert len(got) == full.get(name, len(got)) and len({i for r in got for i in r[:2]}) == 70 or name == "knn_graph_mutual"
 
 
-@pytest.mark.parametrize("name", ["dot_products", "knn_similarity"])
+@pytest.mark.parametrize("name", ["dot_products", "knn_similarity", "rbf_similarity"])
 def test_uneven_vectors_follow_the_sql(spark, tmp_path, name):
     folder = write(spark, tmp_path, [(1, (1, 2, 3)), (2, (2, 1)), (3, (0, 1, 5)), (5, (1, 1, 1)), (5, (2, 0, 1))])
     assert sorted(tuple(r) for r in neighbors.CATALOG.queries[name](spark, folder).collect()) == expected(folder, neighbors.CATALOG.sql[name])
