@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrel.operators.terms import by_counts
 from spindrel.plans.catalog import Catalog, table
 from spindrel.plans.dialects import both
 
@@ -256,7 +257,7 @@ def _(d):
     return f"WITH e AS (SELECT vec_id, pos, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM {d.vec}) SELECT vec_id, pos, round(e / sum(e) OVER (PARTITION BY vec_id), 8) AS p FROM e"
 
 
-@q("word_slots")
+@by_counts(CATALOG, "word_slots", lambda parts: "SELECT doc_id, term, first AS first_slot, n FROM counted_words")
 def _(d):
     return f"WITH n AS (SELECT doc_id, term, count(*) AS n FROM {d.tok()} GROUP BY doc_id, term), b AS (SELECT doc_id, term, n, sum(n) OVER (PARTITION BY doc_id ORDER BY term) - n AS first FROM n) SELECT doc_id, term, CAST(first AS BIGINT) AS first_slot, n FROM b"
 
